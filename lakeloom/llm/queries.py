@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import cooccurrence, terms
+from lakeloom.llm import cooccurrence, packing, terms, tokens
 
-_ALL = (terms, cooccurrence)
+_ALL = (terms, cooccurrence, tokens, packing)
 QUERIES = {name: q for m in _ALL for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _ALL for name, q in m.SQL.items()}
