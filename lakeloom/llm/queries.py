@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import cooccurrence, packing, terms, tokens
+from lakeloom.llm import cooccurrence, packing, sentences, terms, tokens
 
-_ALL = (terms, cooccurrence, tokens, packing)
+_ALL = (terms, cooccurrence, tokens, packing, sentences)
 QUERIES = {name: q for m in _ALL for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _ALL for name, q in m.SQL.items()}
