@@ -39,10 +39,9 @@ def ordered_snapshots(scans: DataFrame, stream: list[str], scan: str, at: str) -
     rows = scans.select(*stream, scan, at).distinct().groupBy(*stream, scan).agg(F.max(at).alias(at))
     order = [F.col(c).asc_nulls_first() for c in (*stream, at, scan)]
     placed = global_positions(rows, order)
-    ends = placed.groupBy(*stream).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    same = [placed[c].eqNullSafe(ends[c]) for c in stream]
-    joined = placed.join(ends, same)
-    return cut(joined.select(placed[scan], "pos", (F.col("pos") == F.col("first")).alias("first"), (F.col("pos") == F.col("last")).alias("last")))
+    ends = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in stream]).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    joined = placed.join(ends, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in stream])
+    return cut(joined.select(scan, "pos", (F.col("pos") == F.col("first")).alias("first"), (F.col("pos") == F.col("last")).alias("last")))
 
 
 def compare_bucket(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> tuple[np.ndarray, ...]:
