@@ -23,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     if not named:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = _own_dirs.get(sc.applicationId)
         if named is None:

@@ -54,9 +54,13 @@ def least_depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     raise RuntimeError("depths didn't settle")
 
 
-def covering_page(asks: DataFrame, pages: DataFrame, now: int, fresh_for: int) -> DataFrame:
+def covering_page(asks: DataFrame, pages: DataFrame, now: int, fresh_for: int, width: int = 1000) -> DataFrame:
     """Of each ask (ask_id, scope, x) the freshest page (page_id, scope, lower, through, fetched) with
-    lower <= x < through that isn't older than fresh_for; asks without one are left out."""
-    good = pages.where(F.col("fetched") >= now - fresh_for)
-    hits = asks.join(good, "scope").where("lower <= x AND x < through")
+    lower <= x < through that isn't older than fresh_for; asks without one are left out.
+
+    Both sides are joined by (scope, bucket of width): a page lies in every bucket that it reaches."""
+    good = pages.where((F.col("fetched") >= now - fresh_for) & (F.col("lower") < F.col("through")))
+    reach = F.sequence(F.floor(F.col("lower") / width), F.floor((F.col("through") - 1) / width))
+    spread = good.select("scope", "page_id", "lower", "through", "fetched", F.explode(reach).alias("bucket"))
+    hits = asks.withColumn("bucket", F.floor(F.col("x") / width)).join(spread, ["scope", "bucket"]).where("lower <= x AND x < through")
     return hits.groupBy("ask_id").agg(F.max(F.struct("fetched", "page_id")).getField("page_id").alias("page_id"))

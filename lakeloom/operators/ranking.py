@@ -200,3 +200,45 @@ def scores(rows: DataFrame, g: str, c: str, prior: str, vote: str, wt: float = 0
 
 
 __all__ = ["heat", "age", "vote_penalty", "tie_key", "window_ranks", "cohort_percentiles", "feather", "quotas", "routes", "select_by_year", "scores", "midranks", "shrunk"]
+
+
+def window_sums(rows: DataFrame, group: list[str], t: str, lo: str, hi: str, value: str) -> DataFrame:
+    """rows with n and sum of the values of the group's rows at times lo..hi (inclusive), by the same
+    tree as window_ranks; a null value or time isn't counted."""
+    known = rows.where(F.col(value).isNotNull() & F.col(t).isNotNull())
+    ends = known.agg(F.min(t), F.max(t)).first()  # two numbers
+    if ends[0] is None:
+        return rows.withColumns({"n": F.lit(None).cast("long"), "sum": F.lit(None).cast("double")})
+    base, levels = ends[0], max(1, (ends[1] - ends[0]).bit_length() + 1)
+    nodes = known.select(*group, F.explode(_nodes(f"({t} - {base})", levels)).alias("node"), F.col(value).cast("double").alias("v")).groupBy(*group, "node").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    asked = rows.select(*group, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).where("__lo IS NOT NULL AND __hi IS NOT NULL").distinct()
+    inner = asked.withColumn("a", F.expr(f"CAST(greatest(0, __lo - {base}) AS bigint)")).withColumn("b", F.expr(f"CAST(least({ends[1] - base}, __hi - {base}) AS bigint)"))
+    found = inner.select(*group, "__lo", "__hi", F.explode(_cover("a", "b", levels)).alias("node")).join(nodes, [*group, "node"])
+    sums = found.groupBy(*group, "__lo", "__hi").agg(F.sum("n").alias("n"), F.sum("s").alias("sum")).withColumnsRenamed({g: f"__{g}" for g in group})
+    same = [F.col(lo) == F.col("__lo"), F.col(hi) == F.col("__hi"), *[F.col(g) == F.col(f"__{g}") for g in group]]
+    return rows.join(sums, same, "left").drop("__lo", "__hi", *[f"__{g}" for g in group])
+
+
+def maker_prior(rows: DataFrame, maker: str, t: str, lo: str, hi: str, value: str, mean: float, weight: int = 50, least: int = 5) -> DataFrame:
+    """rows with prior, -1..1: how far the maker's other items in the window lie above the mean, drawn
+    to it by weight items; 0 for fewer than least others."""
+    w = window_sums(rows, [maker], t, lo, hi, value)
+    own = F.when((F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi)), F.col(value).cast("double"))
+    others, total = F.coalesce("n", F.lit(0)) - F.when(own.isNotNull(), 1).otherwise(0), F.coalesce("sum", F.lit(0.0)) - F.coalesce(own, F.lit(0.0))
+    posterior = (total + weight * mean) / (others + weight)
+    return w.withColumn("prior", F.when(others >= least, clamp((posterior - mean) / 0.2, -1.0, 1.0)).otherwise(0.0)).drop("n", "sum")
+
+
+def duplicate_heat(rows: DataFrame, group: str, key: str, kind: str, fav: str, up: str, created: str, policy: str, shown: int = 3) -> DataFrame:
+    """One row per group of duplicate posts: its posts, heat, first creation, whether their kinds differ,
+    and the hottest posts as evidence. highest: the heat of the best post; sum: of the summed counters
+    (exact; beyond 64 bits they stay at the limit)."""
+    from lakeloom.functions.top import first_k
+
+    limit = F.lit(2**63 - 1).cast("decimal(38,0)")
+    total = lambda c: F.least(F.sum(F.col(c).cast("decimal(38,0)")), limit).cast("long")
+    hot = rows.withColumn("__heat", heat(F.col(fav), F.col(up)))
+    all_ = hot.groupBy(group).agg(F.count("*").alias("posts"), F.max("__heat").alias("best"), total(fav).alias("__f"), total(up).alias("__u"), F.min(created).alias("created"), (F.min(kind) != F.max(kind)).alias("kinds_differ"))
+    value = F.col("best") if policy == "highest" else heat(F.col("__f"), F.col("__u"))
+    top = first_k(hot, [group], [F.col("__heat").desc_nulls_last(), F.col(key)], shown, F.col(key), "evidence")
+    return all_.join(top, group).select(group, "posts", value.alias("heat"), "created", "kinds_differ", "evidence")

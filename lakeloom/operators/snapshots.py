@@ -125,9 +125,9 @@ def snapshot_changes(
     position = lambda name, pos: snapshots.select(F.col(scan).alias(name), F.col("pos").alias(pos))
     named = changes.withColumn("prev", F.col("pos") - 1).join(position("to_scan", "pos"), "pos").join(position("from_scan", "prev"), "prev")
     named = named.withColumn("of_scan", F.when(F.col("change") == "removed", F.col("from_scan")).otherwise(F.col("to_scan")))
-    full = keyed.select(F.col(scan).alias("of_scan"), *hash128([F.col(key)], "k"), F.struct(at.alias("at"), F.col(key).alias("key"), *[F.col(c) for c in retrieve]).alias("full"))
-    found = named.join(full, ["of_scan", "k1", "k2"]).groupBy("from_scan", "to_scan", "k1", "k2", "change").agg(F.max_by("full", "full.at").alias("full"))
-    return found.select(F.col("from_scan").alias(f"prev_{scan}"), F.col("to_scan").alias(scan), F.col("full.key").alias(key), "change", *[F.col(f"full.{c}").alias(c) for c in retrieve])
+    full = keyed.select(F.col(scan).alias("of_scan"), *hash128([F.col(key)], "k"), F.struct(at.alias("__at"), F.col(key).alias("__key"), *[F.col(c) for c in retrieve]).alias("full"))
+    found = named.join(full, ["of_scan", "k1", "k2"]).groupBy("from_scan", "to_scan", "k1", "k2", "change").agg(F.max_by("full", "full.__at").alias("full"))
+    return found.select(F.col("from_scan").alias(f"prev_{scan}"), F.col("to_scan").alias(scan), F.col("full.__key").alias(key), "change", *[F.col(f"full.{c}").alias(c) for c in retrieve])
 
 
 def _pins(spark: SparkSession, d: str, retrieve: list[str]) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Vectors the centroids are fitted on, at most; lists at most; vectors for which an index is worth it.
 FIT, MAX_LISTS, LEAST_ROWS = 50_000, 4096, 256
+#: Rows and queries that one task multiplies; hashes of one byte value above which a second key is used.
+SLICE_ROWS, SLICE_QUERIES, HOT = 50_000, 20_000, 2000
 
 
 def normalised(col: str) -> Column:
@@ -84,17 +86,40 @@ def probe(index: DataFrame, key: str, centroids: np.ndarray, query: list[float],
 def batch_nearest(queries: DataFrame, index: DataFrame, key: str, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
     """(query, key, distance, rank): the k nearest of many queries (query, u), each probing some lists.
 
-    Queries go to lists and rows lie in lists; a list is cut into slices by hash, so that a large one is
-    spread over tasks. Each slice gives k candidates per query, which are merged by a window per query."""
-    near = F.udf(lambda u: [int(x) for x in np.argsort(-(centroids @ np.asarray(u)))[:probes]], "array<bigint>")
-    slices = 8
-    asks = queries.select("query", F.col("u").alias("q"), F.explode(near("u")).alias("list")).withColumn("slice", F.explode(F.array(*map(F.lit, range(slices)))))
-    rows = index.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    hits = asks.join(rows, ["list", "slice"]).select("query", F.struct((1 - dot).alias("distance"), F.col(key)).alias("h"), "slice")
-    best = hits.groupBy("query", "slice").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("h"))
-    merged = best.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("h"))), 1, k).alias("h"))
-    return merged.select("query", F.posexplode("h").alias("rank", "h")).select("query", F.col(f"h.{key}").alias(key), F.col("h.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
+    Lists are cut into slices of at most about SLICE_ROWS rows and SLICE_QUERIES queries by hash, from
+    the sizes of the lists (at most MAX_LISTS numbers). A task multiplies one slice of rows with one of
+    queries and keeps k of each query; these few candidates are merged by query."""
+    q_kind, k_kind = dict(queries.dtypes)["query"], dict(index.dtypes)[key]
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                near = np.argsort(-(np.stack(b["u"].to_numpy()) @ centroids.T), axis=1)[:, :probes]
+                yield pd.DataFrame({"query": np.repeat(b["query"].to_numpy(), near.shape[1]), "q": np.repeat(b["u"].to_numpy(), near.shape[1]), "list": near.ravel()})
+
+    asks = queries.select("query", "u").mapInPandas(lists, f"query {q_kind}, q array<double>, list long")
+    most = lambda df: (df.groupBy("list").count().agg(F.max("count")).first()[0]) or 1
+    slices, parts = -(-most(index) // SLICE_ROWS), -(-most(asks) // SLICE_QUERIES)
+    each = lambda n: F.explode(F.array(*map(F.lit, range(n))))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("slice", each(slices))
+    rows = index.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).withColumn("part", each(parts))
+
+    def multiply(a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(r):
+            r = r.sort_values(key, kind="stable")
+            u, keys = np.stack(r["u"].to_numpy()), r[key].to_numpy()
+            for at in range(0, len(a), 512):
+                d = 1 - np.stack(a["q"].to_numpy()[at : at + 512]) @ u.T
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                out.append(pd.DataFrame({"query": np.repeat(a["query"].to_numpy()[at : at + 512], n), key: keys[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], key: [], "distance": []})
+
+    groups = ["list", "slice", "part"]
+    found = asks.groupBy(*groups).cogroup(rows.groupBy(*groups)).applyInPandas(multiply, f"query {q_kind}, `{key}` {k_kind}, distance double")
+    w = Window.partitionBy("query").orderBy("distance", key)  # at most k * probes * slices rows each
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sign_hash(col: str) -> Column:
@@ -110,21 +135,28 @@ def hamming_classes(rows: DataFrame, key: str, col: str) -> tuple[DataFrame, Dat
 
 
 def hamming_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """(a, b, distance) of class representatives within radius <= 7: two such hashes share one of
-    their 8 bytes. Candidates are joined by (byte, value, hash bucket of the partner), so that a value
-    that a third of all hashes have is spread over buckets; pairs met by several bytes count once."""
+    """(a, b, distance) of class representatives within radius <= 7.
+
+    Two such hashes share one of their 8 bytes. Where more than HOT hashes share a byte value, they must
+    also share one of eight blocks of 7 bits of the rest, and these are joined by both; a pair is kept
+    only by the first byte and block that it shares, so that it's met once. The hot byte values are
+    counted first (at most 2,048) and broadcast."""
     if not 0 <= radius <= 7:
         raise ValueError("radius")
-    salt = 16
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(k.alias("band"), F.expr("1").alias("one"))))
-    base = classes.select("rep", "hash", bands.alias("s")).withColumn("bits", F.expr("shiftrightunsigned(hash, 8 * s.band) & 255")).select("rep", "hash", F.col("s.band").alias("band"), "bits")
-    left = base.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salt)).cast("int")).select("band", "bits", "salt", F.col("rep").alias("a"), F.col("hash").alias("ha"))
-    right = base.withColumn("salt", F.explode(F.array(*map(F.lit, range(salt))))).select("band", "bits", "salt", F.col("rep").alias("b"), F.col("hash").alias("hb"))
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    met = left.join(right, ["band", "bits", "salt"]).where(F.col("a") < F.col("b")).select("a", "b", "band", distance.alias("distance"), F.col("ha").bitwiseXOR(F.col("hb")).alias("x"))
-    # a pair is kept only where the first byte that both share is the joined one
-    first = F.expr("filter(sequence(0, 7), k -> (shiftrightunsigned(x, 8 * k) & 255) = 0)[0]")
-    return met.where((F.col("distance") <= radius) & (first == F.col("band"))).select("a", "b", "distance")
+    byte = F.expr("shiftrightunsigned(hash, 8 * band) & 255")
+    base = classes.select("rep", "hash", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("band")).withColumn("bits", byte)
+    hot = base.groupBy("band", "bits").count().where(F.col("count") > HOT).select("band", "bits", F.lit(True).alias("hot"))
+    rest = "((CASE WHEN band = 7 THEN 0L ELSE shiftleft(shiftrightunsigned({0}, 8 * (band + 1)), 8 * band) END) | ({0} & (shiftleft(1L, 8 * band) - 1)))"
+    blocks = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(-1)))
+    keyed = base.join(F.broadcast(hot), ["band", "bits"], "left").withColumn("block", F.explode(blocks))
+    keyed = keyed.withColumn("more", F.expr(f"IF(block < 0, 0L, shiftrightunsigned({rest.format('hash')}, 7 * block) & 127)"))
+    keys = ["band", "bits", "block", "more"]
+    left = keyed.select(*keys, F.col("rep").alias("a"), F.col("hash").alias("ha"))
+    right = keyed.select(*keys, F.col("rep").alias("b"), F.col("hash").alias("hb"))
+    met = left.join(right, keys).where("a < b").withColumn("x", F.col("ha").bitwiseXOR(F.col("hb"))).withColumn("distance", F.bit_count("x"))
+    first_byte = F.expr("filter(sequence(0, 7), k -> (shiftrightunsigned(x, 8 * k) & 255) = 0)[0]")
+    first_block = F.expr(f"IF(block < 0, -1, filter(sequence(0, 7), k -> (shiftrightunsigned({rest.format('x')}, 7 * k) & 127) = 0)[0])")
+    return met.where((F.col("distance") <= radius) & (first_byte == F.col("band")) & (first_block == F.col("block"))).select("a", "b", "distance")
 
 
 def append_new(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

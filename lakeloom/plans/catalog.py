@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeloom.functions import tags
 from lakeloom.plans import paging, scopes, versions
@@ -10,6 +10,7 @@ from lakeloom.plans.spec import Condition, QuerySpec, compile_spec, concat_sourc
 from lakeloom.sources.lake import LAKE_SQL, from_members, newest
 
 C = Condition
+EVENT_TYPES = ('click', 'error', 'purchase', 'signup', 'view')
 
 
 def _spec(rule: str, *conditions: Condition):
@@ -170,13 +171,16 @@ def shared_objects(spark: SparkSession, d: str) -> DataFrame:
     return per.where("posts > 1")
 
 
-def intervals_at_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events with a later one of the same user within an hour (a coverage lookup by range)."""
-    e = _events(spark, d)
-    hour = F.unix_micros("ts")
-    w = Window.partitionBy("user_id").orderBy(hour, "event_id")
-    nxt = e.select("event_id", "user_id", hour.alias("us"), F.lead(hour).over(w).alias("next_us"))
-    return nxt.where("next_us - us <= 3600000000").select("event_id", "user_id")
+def covering_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The freshest page over each event's place; parts are pages."""
+    from lakeloom.operators.graphs import covering_page
+
+    types = F.array(*map(F.lit, EVENT_TYPES))
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    lower = (F.col("p_size") * 10).cast("long")
+    pages = parts.select(F.col("p_partkey").alias("page_id"), F.element_at(types, (F.col("p_partkey") % 5 + 1).cast("int")).alias("scope"), lower.alias("lower"), (lower + 25).alias("through"), (F.col("p_partkey") * 37 % 1000).alias("fetched"))
+    asks = _events(spark, d).select(F.col("event_id").alias("ask_id"), F.col("event_type").alias("scope"), (F.col("event_id") % 600).alias("x"))
+    return covering_page(asks, pages, 1000, 400, 50)
 
 
 QUERIES = {
@@ -214,7 +218,7 @@ QUERIES = {
     "q_tag_sets": tag_fingerprints,
     "q_scalar_filter": scalar_filter,
     "q_shared_objects": shared_objects,
-    "q_next_within_hour": intervals_at_events,
+    "q_covering_page": covering_pages,
 }
 _TOKENS = "list_sort(list_distinct([x for x in string_split(tag_string, ' ') if x <> '']))"
 _POSTED = lambda seq: f"SELECT unnest({_TOKENS}) AS tag, post_id FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY commit_seq DESC, row_id DESC) AS rn FROM observations WHERE post_id IS NOT NULL AND commit_seq <= {seq}) WHERE rn = 1"
@@ -257,5 +261,6 @@ SQL = {
     "q_tag_sets": f"{LAKE_SQL} SELECT post_id, count(DISTINCT {_TOKENS}::VARCHAR) AS tag_sets FROM observations WHERE post_id IS NOT NULL GROUP BY 1 HAVING tag_sets > 1",
     "q_scalar_filter": "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0 AND p_size >= 30",
     "q_shared_objects": f"{LAKE_SQL} SELECT sha256, count(DISTINCT post_id) AS posts, min(post_id) AS first_post FROM assets WHERE sha256 IS NOT NULL AND post_id IS NOT NULL GROUP BY 1 HAVING posts > 1",
-    "q_next_within_hour": "SELECT event_id, user_id FROM (SELECT event_id, user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events) WHERE n - us <= 3600000000",
+    "q_covering_page": f"""WITH p AS (SELECT p_partkey AS page_id, {list(EVENT_TYPES)}[p_partkey % 5 + 1] AS scope, p_size * 10 AS lower_, p_partkey * 37 % 1000 AS fetched FROM part)
+      SELECT event_id AS ask_id, arg_max(page_id, (fetched, page_id)) AS page_id FROM events JOIN p ON scope = event_type AND event_id % 600 >= lower_ AND event_id % 600 < lower_ + 25 WHERE fetched >= 600 GROUP BY 1""",
 }
