@@ -126,7 +126,9 @@ def co_occurring(rows: DataFrame, basket: str, text: str, min_count: int = 5, mi
     kept = counts.where((F.col("n_item") >= min_count) & (F.col("n_item").cast("decimal(38,0)") * min_lift <= F.lit(total)))
     items = global_positions(kept, [F.col("item")], "id")  # ids in code point order
     baskets = entries.join(items.select("item", "id"), "item").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    segments = baskets.select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(SEGMENT))).alias("first"))
+    cut_up = baskets.select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(SEGMENT))).alias("first")).where(F.size("ids") > SEGMENT)
+    cut_up = cut_up.repartition(F.col("first"), F.xxhash64("ids"))  # a large basket's segments go to different tasks
+    segments = baskets.where(F.size("ids") <= SEGMENT).select("ids", F.lit(0).alias("first")).unionByName(cut_up)
     stripes = segments.mapInArrow(_stripes, "item long, piece long, neighbours array<int>, counts array<long>")
     pairs = stripes.repartition(F.col("item"), F.col("piece")).sortWithinPartitions("item", "piece").mapInArrow(_merge(min_count), "a long, b long, n_ab long")
     side = lambda s, k: items.select(F.col("id").alias(k), F.col("item").alias(f"item_{s}"), F.col("n_item").alias(f"n_{s}"))

@@ -150,9 +150,9 @@ def slots(histogram: dict[int, int], configs: list[tuple[dict[int, int], int]])
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
     """(container_id, key, start, end): the ranges of each item of the given size in containers."""
-    sized = cut(items.select(key, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))
+    sized = cut(items.select(F.col(key).alias("__key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity).cast("long"))
-    pieces = sized.select(key, "n", F.explode(starts).alias("start")).select(key, "start", F.least(F.col("n"), F.col("start") + capacity).alias("end"))
+    pieces = sized.select("__key", "n", F.explode(starts).alias("start")).select("__key", "start", F.least(F.col("n"), F.col("start") + capacity).alias("end"))
     pieces = pieces.withColumn("size", F.col("end") - F.col("start"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("size").count().collect()}  # at most capacity + 1 rows
     first, container, each = slots(histogram, configurations(histogram, capacity))
@@ -163,9 +163,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
         i = np.searchsorted(first, p, side="right") - 1
         return pa.array(container[i] + (p - first[i]) // each[i])
 
-    placed = global_positions(pieces, [F.col("size").desc(), F.col(key), F.col("start")])
+    placed = global_positions(pieces, [F.col("size").desc(), F.col("__key"), F.col("start")])
     where = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(of_place("pos"))
-    return placed.select(where.alias("container_id"), key, "start", "end")
+    return placed.select(where.alias("container_id"), F.col("__key").alias(key), "start", "end")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:

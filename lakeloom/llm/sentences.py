@@ -113,29 +113,34 @@ class _Block:
 
     def _balance(self) -> list[tuple[int, int]]:
         """(open, close) of the outermost and inner balanced quotations; a lone mark doesn't count."""
-        stack: list[tuple[str, int]] = []
+        stack: list[int] = []
+        waiting: dict[str, list[tuple[int, int]]] = {}  # by closing mark: (depth, place) of what it may close
         pairs = []
+
+        def held(c: str) -> int:
+            """The depth of the innermost mark that c may close, or -1."""
+            found = waiting.get(c, [])
+            while found and not (found[-1][0] < len(stack) and stack[found[-1][0]] == found[-1][1]):
+                found.pop()
+            return found[-1][0] if found else -1
+
         for m in self.marks:
             if m.lastgroup != "quote":
                 continue
             c, i = m.group(), m.start()
-            if c == '"':
-                held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-                if held is None:
-                    stack.append(('"', i))
-                    continue
-            elif c in "’‘" and i and self.s[i - 1].isalnum():
-                held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "‘"), None) if c == "’" and not self.s[i + 1 : i + 2].isalnum() else None
-                if held is None:
+            if c in "’‘" and i and self.s[i - 1].isalnum():
+                k = held(c) if c == "’" and not self.s[i + 1 : i + 2].isalnum() else -1
+                if k < 0:
                     continue  # an apostrophe
             else:
-                held = next((k for k in range(len(stack) - 1, -1, -1) if c in OPEN.get(stack[k][0], "")), None)
-                if held is None:
-                    if c in OPEN:
-                        stack.append((c, i))
-                    continue
-            pairs.append((stack[held][1], i))
-            del stack[held:]
+                k = held(c)
+            if k >= 0:
+                pairs.append((stack[k], i))
+                del stack[k:]
+            elif c in OPEN or c == '"':
+                for closer in OPEN.get(c, '"'):
+                    waiting.setdefault(closer, []).append((len(stack), i))
+                stack.append(i)
         return pairs
 
     def _cover(self) -> list[tuple[int, int]]:
@@ -358,20 +363,16 @@ class _Block:
         return 5.0 if led or emoji else (2.5 if starts else 1.0)
 
 
-def _span_score(b: _Block, i: int, j: int) -> float:
-    """How well s[i:j] makes one sentence, apart from the evidence at its end."""
-    s = b.s[i:j].strip()
-    letters = len(_LETTERS.findall(s))
-    wide = len(_CJK.findall(s))
-    if letters + wide == 0:
+def _span_score(s: str, units: int, small: bool) -> float:
+    """How well the text s with so many letters makes one sentence, apart from the evidence at its end."""
+    if units == 0:
         return -5.0  # marks and numbers alone
-    score = -0.5 * ((math.log(letters + wide) - math.log(TYPICAL)) / SPREAD) ** 2
-    first = s[0]
-    if _low(first) and not b.small:
+    score = -0.5 * ((math.log(units) - math.log(TYPICAL)) / SPREAD) ** 2
+    if _low(s[0]) and not small:
         score -= 2.0
-    elif first in ",;:、，。！？)）.":
+    elif s[0] in ",;:、，。！？)）.":
         score -= 5.0
-    if letters + wide < 12 and s[-1] not in ".!?…。！？．؟।;」”»" and not re.search(rf"[{_EMOJI}]$", s):
+    if units < 12 and s[-1] not in ".!?…。！？．؟।॥;」”»" and not re.match(rf"[{_EMOJI}]", s[-1]):
         score -= 1.0
     return score
 
@@ -393,10 +394,16 @@ def _best(b: _Block, start: int, held: list[tuple[int, float]]) -> Iterator[tupl
         return
     places = [start, *(at for at, _ in held)]
     best, back = [0.0] + [-math.inf] * len(held), [0] * (len(held) + 1)
+    units, heads, tails = [0], [], [""]  # letters up to each place, the first and last words around it
+    for i, j in zip(places, places[1:]):
+        part = b.s[i:j]
+        units.append(units[-1] + len(_LETTERS.findall(part)) + len(_CJK.findall(part)))
+        heads.append(part.lstrip()[:1] or " ")
+        tails.append(part.rstrip()[-1:] or " ")
     for j in range(1, len(places)):
         gain = held[j - 1][1] if j < len(held) else 0.0
         for i in range(j - 1, max(-1, j - 1 - LOOK_BACK), -1):
-            total = best[i] + _span_score(b, places[i], places[j]) + gain
+            total = best[i] + _span_score(heads[i] + tails[j], units[j] - units[i], b.small) + gain
             if total > best[j]:
                 best[j], back[j] = total, i
     cuts, j = [], len(held)
@@ -442,8 +449,8 @@ def sentence_spans(text: Column | str) -> Column:
 
 def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_char, end_char), one row per sentence."""
-    cut = documents.select(key, sentence_spans(text).alias("spans"))
-    return cut.select(key, F.explode("spans").alias("s")).select(key, "s.start_char", "s.end_char")
+    cut = documents.select(F.col(key).alias("__key"), sentence_spans(text).alias("__spans"))
+    return cut.select("__key", F.explode("__spans").alias("__s")).select(F.col("__key").alias(key), "__s.start_char", "__s.end_char")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
