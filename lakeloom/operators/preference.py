@@ -6,6 +6,7 @@ component or rating is gathered in one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeloom.functions.runtime import cut
@@ -14,6 +15,8 @@ from lakeloom.operators.graphs import components
 
 #: Members of a batch at most; the fit's default regularisation, strength of ties and tolerance.
 MAX_BATCH, REGULAR, TIES, TOLERANCE = 16, 0.1, 1.0, 1e-5
+#: Distinct pairs up to which a fit's rounds run in numpy; beyond, every round is a distributed job.
+LOCAL_PAIRS = 100_000
 
 
 def pairs(batches: DataFrame) -> DataFrame:
@@ -51,11 +54,13 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
     diagonal Newton steps, centred within each component of the comparison graph."""
     sides = cut(both_ways(p).groupBy("item", "other").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")))
     parts = cut(components(p, "i", "j").withColumnRenamed("node", "item"))
+    if sides.limit(LOCAL_PAIRS + 1).count() <= LOCAL_PAIRS:  # the same rounds without a job for each
+        return _davidson_local(sides, parts, regular, ties, rounds, tolerance)
     s = parts.select("item", "component", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         other = s.select(F.col("item").alias("other"), F.col("score").alias("t"))
         mean, var = outcome((F.col("score") - F.col("t")) / 2, ties)
-        terms = sides.join(s, "item").join(other, "other").select("item", (F.col("wy") - F.col("w") * mean).alias("g"), (F.col("w") * var / 2).alias("c"))
+        terms = sides.join(s, "item").join(other, "other").select("item", (F.col("wy") - F.col("w") * mean).alias("g"), (F.col("w") * var).alias("c"))
         sums = terms.groupBy("item").agg(F.sum("g").alias("g"), F.sum("c").alias("c"))
         step = 0.9 * (F.col("g") - regular * F.col("score")) / (F.col("c") + regular)
         moved = s.join(sums, "item").select("item", "component", (F.col("score") + step).alias("score"), F.abs(step).alias("step"))
@@ -68,6 +73,27 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
     return s.select("item", "score", "component")
 
 
+def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float) -> DataFrame:
+    """The rounds of davidson in numpy, for at most LOCAL_PAIRS pairs."""
+    pdf, items = sides.toPandas(), parts.toPandas()
+    place = {x: k for k, x in enumerate(items["item"])}
+    i, j = (pdf[c].map(place).to_numpy(np.int64) for c in ("item", "other"))
+    group, n = np.unique(items["component"].to_numpy(), return_inverse=True)[1], len(items)
+    w, wy, s = pdf["w"].to_numpy(float), pdf["wy"].to_numpy(float), np.zeros(n)
+    for _ in range(rounds if n else 0):
+        win = np.exp((s[i] - s[j]) / 2)
+        z = win + 1 / win + ties
+        mean = (win + ties / 2) / z
+        var = (win + ties / 4) / z - mean * mean
+        g, c = np.bincount(i, wy - w * mean, n), np.bincount(i, w * var, n)
+        step = 0.9 * (g - regular * s) / (c + regular)
+        s = s + step
+        s -= (np.bincount(group, s) / np.bincount(group))[group]
+        if np.abs(step).max() < tolerance:
+            break
+    return sides.sparkSession.createDataFrame(items.assign(score=s)[["item", "score", "component"]], f"item {dict(parts.dtypes)['item']}, score double, component {dict(parts.dtypes)['component']}")
+
+
 def tied_ranks(scores: DataFrame, group: list[str], score: str, grid: float = 1e-6) -> DataFrame:
     """scores with lo, hi and percentile: the places of the tied group, best first, on a grid."""
     at = scores.withColumn("__s", F.round(F.col(score) / grid).cast("long"))
@@ -81,7 +107,7 @@ def tied_ranks(scores: DataFrame, group: list[str], score: str, grid: float = 1e
 
 def diversity(p: DataFrame) -> DataFrame:
     """(item, opponents): how many others an item met, by linear counting on 64 bits."""
-    bits = both_ways(p).groupBy("item").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64("other"), F.lit(64)).cast("int"))).alias("bits"))
+    bits = both_ways(p).groupBy("item").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("other"), F.lit(64)).cast("int"))).alias("bits"))
     full = F.bit_count("bits")
     return bits.select("item", F.when(full < 64, -64 * F.log(1 - full / 64)).otherwise(F.lit(64 * 4.2)).alias("opponents"))
 

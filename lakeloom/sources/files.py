@@ -127,7 +127,7 @@ def seal(rows: DataFrame, folder: str, columns: list[str], partition: str | None
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = row_fingerprint(rows, columns).first()
-    manifest = {"rows": found["rows"], "fingerprint": found["fingerprint"], "columns": columns}
+    manifest = {"rows": found["rows"], "fingerprint": found["fingerprint"], "columns": columns, "schema": rows.select(*columns).schema.json()}
     if fs.exists(path):
         held = read_manifest(spark, folder)
         if held != manifest:
@@ -151,7 +151,8 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
 def open_sealed(spark: SparkSession, folder: str) -> DataFrame:
     """A sealed dataset, after its count and fingerprint have been checked."""
     m = read_manifest(spark, folder)
-    rows = spark.read.parquet(f"{folder}/data").select(*m["columns"])
+    schema = T.StructType.fromJson(json.loads(m["schema"]))  # partition columns have no type of their own on disk
+    rows = spark.read.schema(schema).parquet(f"{folder}/data").select(*m["columns"])
     found = row_fingerprint(rows, m["columns"]).first()
     if (found["rows"], found["fingerprint"]) != (m["rows"], m["fingerprint"]):
         raise ValueError("the dataset isn't what was sealed")
