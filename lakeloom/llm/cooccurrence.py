@@ -35,13 +35,13 @@ def _sum_by(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[at], (np.add.reduceat(n, at) if len(at) else n)
 
 
-def pair_codes(items: np.ndarray, last: np.ndarray, positions: np.ndarray) -> Iterator[np.ndarray]:
+def pair_codes(items: np.ndarray, last: np.ndarray, positions: np.ndarray, expand: int) -> Iterator[np.ndarray]:
     """item << 32 | later item of the same basket, for the items at positions; last is the end of
-    the basket at each position. At most about EXPAND pairs at once."""
+    the basket at each position. At most about expand pairs at once."""
     later = last[positions] - positions - 1
     at = 0
     while at < len(positions):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), EXPAND, side="right")) + at)
+        to = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), expand, side="right")) + at)
         p, k = positions[at:to], later[at:to]
         starts = np.cumsum(k) - k
         second = np.arange(k.sum()) - np.repeat(starts, k) + np.repeat(p + 1, k)
@@ -49,46 +49,50 @@ def pair_codes(items: np.ndarray, last: np.ndarray, positions: np.ndarray) -> It
         at = to
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stripes(segment: int, expand: int, most: int):
     """Baskets (items sorted, segment start) to stripes (item, range, neighbours, counts)."""
-    codes, counts, held = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        return _sum_by(np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def emit(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key = code >> 32 << 32 | ((code & 0xFFFFFFFF) // RANGE)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        for at in range(0, len(starts), 20_000):
-            own = starts[at : at + 20_000]
-            end = starts[at + 20_000] if at + 20_000 < len(starts) else len(code)
-            lists = pa.array(np.r_[own, end] - own[0], pa.int32())
-            part = slice(own[0], end)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code[own] >> 32), pa.array(key[own] & 0xFFFFFFFF), pa.ListArray.from_arrays(lists, pa.array(((code[part] & 0xFFFFFFFF) % RANGE).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(n[part]))],
-                ["item", "piece", "neighbours", "counts"],
-            )
-
-    for batch in batches:
-        lists, first = batch.column(0), batch.column(1).to_numpy()
-        ends, items = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
-        ends -= ends[0]
-        size = np.diff(ends)
-        last = np.repeat(ends[1:], size)
-        inside = np.arange(len(items)) - np.repeat(ends[:-1], size)
-        own = np.repeat(first, size)
-        for code in pair_codes(items, last, np.flatnonzero((inside >= own) & (inside < own + SEGMENT))):
-            code, n = np.unique(code, return_counts=True)
-            codes.append(code)
-            counts.append(n.astype(np.int64))
-            held += len(code)
-            if held > 2 * HELD:
-                code, n = merged()
-                codes, counts, held = [code], [n], len(code)
-                if held > HELD:
-                    yield from emit(code, n)
-                    codes, counts, held = [], [], 0
-    yield from emit(*merged())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _sum_by(np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def emit(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key = code >> 32 << 32 | ((code & 0xFFFFFFFF) // RANGE)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            for at in range(0, len(starts), 20_000):
+                own = starts[at : at + 20_000]
+                end = starts[at + 20_000] if at + 20_000 < len(starts) else len(code)
+                lists = pa.array(np.r_[own, end] - own[0], pa.int32())
+                part = slice(own[0], end)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code[own] >> 32), pa.array(key[own] & 0xFFFFFFFF), pa.ListArray.from_arrays(lists, pa.array(((code[part] & 0xFFFFFFFF) % RANGE).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(n[part]))],
+                    ["item", "piece", "neighbours", "counts"],
+                )
+
+        for batch in batches:
+            lists, first = batch.column(0), batch.column(1).to_numpy()
+            ends, items = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            ends -= ends[0]
+            size = np.diff(ends)
+            last = np.repeat(ends[1:], size)
+            inside = np.arange(len(items)) - np.repeat(ends[:-1], size)
+            own = np.repeat(first, size)
+            for code in pair_codes(items, last, np.flatnonzero((inside >= own) & (inside < own + segment)), expand):
+                code, n = np.unique(code, return_counts=True)
+                codes.append(code)
+                counts.append(n.astype(np.int64))
+                held += len(code)
+                if held > 2 * most:
+                    code, n = merged()
+                    codes, counts, held = [code], [n], len(code)
+                    if held > most:
+                        yield from emit(code, n)
+                        codes, counts, held = [], [], 0
+        yield from emit(*merged())
+
+    return run
 
 
 def _merge(least: int):
@@ -129,7 +133,7 @@ def co_occurring(rows: DataFrame, basket: str, text: str, min_count: int = 5, mi
     cut_up = baskets.select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(SEGMENT))).alias("first")).where(F.size("ids") > SEGMENT)
     cut_up = cut_up.repartition(F.col("first"), F.xxhash64("ids"))  # a large basket's segments go to different tasks
     segments = baskets.where(F.size("ids") <= SEGMENT).select("ids", F.lit(0).alias("first")).unionByName(cut_up)
-    stripes = segments.mapInArrow(_stripes, "item long, piece long, neighbours array<int>, counts array<long>")
+    stripes = segments.mapInArrow(_stripes(SEGMENT, EXPAND, HELD), "item long, piece long, neighbours array<int>, counts array<long>")
     pairs = stripes.repartition(F.col("item"), F.col("piece")).sortWithinPartitions("item", "piece").mapInArrow(_merge(min_count), "a long, b long, n_ab long")
     side = lambda s, k: items.select(F.col("id").alias(k), F.col("item").alias(f"item_{s}"), F.col("n_item").alias(f"n_{s}"))
     named = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").withColumn("n", F.lit(total).cast("long"))

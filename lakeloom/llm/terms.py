@@ -47,14 +47,15 @@ def encode_block(lists: pa.ListArray, separator: str) -> tuple[pa.Array, np.ndar
 class _Block:
     """The sums of a task so far."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, part: tuple[pa.Array, np.ndarray, np.ndarray]) -> None:
         self.parts.append(part)
         self.held += len(part[0])
-        if self.held > 2 * BLOCK_TERMS:
+        if self.held > 2 * self.most:
             self.merge()
 
     def merge(self) -> None:
@@ -69,9 +70,9 @@ class _Block:
         self.held = sum(len(p[0]) for p in self.parts)
 
 
-def _blocks(separator: str):
+def _blocks(separator: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = _Block(), 0
+        block, known = _Block(most), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             block.merge()
@@ -86,7 +87,7 @@ def _blocks(separator: str):
             lists = lists.cast(pa.list_(pa.string()))
             known += int((np.diff(lists.offsets.to_numpy()) > 0).sum())
             block.add(encode_block(lists, separator))
-            if block.held > BLOCK_TERMS:
+            if block.held > most:
                 yield from flush()
         yield from flush()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([known], pa.int64())], ["term", "occurrences", "records"])
@@ -128,7 +129,7 @@ def term_counts(rows: DataFrame, key: str, text: str, separator: str = " ") -> D
     """(term_id, term, occurrences, records) of every term; of the row whose term is null, records
     is the number of records whose text isn't null. Written once to the checkpoint folder."""
     records = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).groupBy("k").agg(F.collect_set("t").alias("texts")).select("texts")
-    blocks = records.mapInArrow(_blocks(separator), "term string, occurrences long, records long")
+    blocks = records.mapInArrow(_blocks(separator, BLOCK_TERMS), "term string, occurrences long, records long")
     owned = blocks.repartition(F.col("term")).sortWithinPartitions("term")
     return cut(owned.mapInArrow(_sum_ranges, "term_id long, term string, occurrences long, records long"))
 

@@ -220,6 +220,6 @@ def test_spans_cover_everything(spark, data):
             assert at <= a < b and not t[at:a].strip() and not t[a].isspace() and not t[b - 1].isspace()
             at = b
         assert not t[at:].strip()
-    df = spark.createDataFrame([(1, "A b. C d.", 5), (1, "A b. C d.", 5), (2, None, 5), (None, "x", 5)], "doc_id long, text string, start_char int")
-    assert sorted((r.doc_id or 0, r.start_char, r.end_char) for r in sentences.split_sentences(df).collect()) == [(0, 0, 1), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
+    df = spark.createDataFrame([(1, "An owl. A fox.", 5), (1, "An owl. A fox.", 5), (2, None, 5), (None, "x", 5)], "doc_id long, text string, start_char int")
+    assert sorted((r.doc_id or 0, r.start_char, r.end_char) for r in sentences.split_sentences(df).collect()) == [(0, 0, 1), (1, 0, 7), (1, 0, 7), (1, 8, 14), (1, 8, 14)]
     assert sentences.split_sentences(df.limit(0)).count() == 0
