@@ -68,31 +68,34 @@ def compare_bucket(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, first: np.nd
     return order[rows], pos[rows] + (kinds == "removed"), kinds
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    names = ["k1", "k2", "seen", "pos", "change"]
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k1, k2, pos, at, v1, v2 = (t.column(c).to_numpy() for c in ("k1", "k2", "pos", "at", "v1", "v2"))
-        first, last = (t.column(c).to_numpy().astype(bool) for c in ("first", "last"))
-        row, pos_at, kind = compare_bucket(k1, k2, pos, first, last, at, v1, v2)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(pos[row]), pa.array(pos_at), pa.array(kind, pa.string())], names)
-
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows >= BUCKET_ROWS:
-            t = pa.Table.from_batches(held)
-            k1 = t.column("k1").to_numpy()
-            whole = int(np.searchsorted(k1, k1[-1]))  # the last key may go on in the next batch
-            if whole:
-                yield from compare(t.slice(0, whole))
-            held = t.slice(whole).combine_chunks().to_batches()
-            rows = len(t) - whole
-    if rows:
-        yield from compare(pa.Table.from_batches(held))
+def _buckets(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        names = ["k1", "k2", "seen", "pos", "change"]
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            k1, k2, pos, at, v1, v2 = (t.column(c).to_numpy() for c in ("k1", "k2", "pos", "at", "v1", "v2"))
+            first, last = (t.column(c).to_numpy().astype(bool) for c in ("first", "last"))
+            row, pos_at, kind = compare_bucket(k1, k2, pos, first, last, at, v1, v2)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(pos[row]), pa.array(pos_at), pa.array(kind, pa.string())], names)
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= most:
+                t = pa.Table.from_batches(held)
+                k1 = t.column("k1").to_numpy()
+                whole = int(np.searchsorted(k1, k1[-1]))  # the last key may go on in the next batch
+                if whole:
+                    yield from compare(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                rows = len(t) - whole
+        if rows:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
 
 
 def _latest_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +124,7 @@ def snapshot_changes(
     compact = plain.select(scan, *hash128([F.col(key)], "k"), at.alias("at"), *hash128([F.col(f"t{i}") for i in range(len(texts))], "v"))
     placed = compact.join(snapshots, scan).select("k1", "k2", "pos", "first", "last", "at", "v1", "v2")
     latest = placed.mapInArrow(_latest_in_batch, placed.schema)
-    changes = latest.repartition(F.col("k1")).sortWithinPartitions("k1").mapInArrow(_buckets, "k1 long, k2 long, seen long, pos long, change string")
+    changes = latest.repartition(F.col("k1")).sortWithinPartitions("k1").mapInArrow(_buckets(BUCKET_ROWS), "k1 long, k2 long, seen long, pos long, change string")
     position = lambda name, pos: snapshots.select(F.col(scan).alias(name), F.col("pos").alias(pos))
     named = changes.withColumn("prev", F.col("pos") - 1).join(position("to_scan", "pos"), "pos").join(position("from_scan", "prev"), "prev")
     named = named.withColumn("of_scan", F.when(F.col("change") == "removed", F.col("from_scan")).otherwise(F.col("to_scan")))
