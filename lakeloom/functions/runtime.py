@@ -83,3 +83,11 @@ def ship(spark: SparkSession) -> None:
 
 
 _shipped: dict[str, str] = {}
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least one partition a core, for work that costs far more than reading its rows:
+    a few small files would otherwise be a few tasks. Scans of more partitions stay as they are."""
+    sc = scan.sparkSession.sparkContext
+    few = scan._jdf.queryExecution().toRdd().getNumPartitions() < sc.defaultParallelism
+    return scan.repartition(sc.defaultParallelism) if few else scan
