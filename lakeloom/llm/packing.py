@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lakeloom.functions.runtime import cut, global_positions
+from lakeloom.functions.runtime import cut, global_positions, spread
 from lakeloom.llm.tokens import token_count
 
 #: Tokens in a container; rounds, learning rate and share per round of the weights; lengths with
@@ -169,7 +169,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    documents = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", token_count("text").alias("tokens"))
+    documents = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", token_count("text").alias("tokens"))
     return pack(documents, "doc_id", "tokens").select("container_id", "doc_id", F.col("start").alias("start_token"), F.col("end").alias("end_token"))
 
 

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lakeloom.functions.runtime import spread
+
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("LAKELOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -289,11 +291,11 @@ def with_offsets(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", token_ids("text").alias("ids"))
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", token_ids("text").alias("ids"))
 
 
 def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return with_offsets(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return with_offsets(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")))
 
 
 QUERIES = {"p6_ids": p6_ids, "p6_offsets": p6_offsets}
