@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lakeloom.functions.runtime import spread
+
 # --- fixed values: words and marks ----------------------------------------------------------------
 
 #: Abbreviations that a sentence doesn't end with; compared without case and the last period.
@@ -62,10 +64,16 @@ QUOTES = "”“»›」』\"’"
 
 _EMOJI = "☀-➿⬀-⯿\U0001f000-\U0001faff♪♫️‍⃣"
 _WORD_END = "。！？｡．"
-_MARK = re.compile(rf"(?P<url>https?://[!-~]+|www\.[!-~]+)|(?P<end>(?:[.!?…؟۔।॥;‼⁇⁈⁉{_WORD_END}]|(?<=\w)\s(?=[!?;:]))+)|(?P<emoji>[{_EMOJI}]+(?:\s*[{_EMOJI}]+)*)|(?P<quote>[“”„«»‹›「」『』（）()《》〈〉【】\[\]［］‘’〔〕\"])|(?P<thai>(?<=[฀-๿])\s+)")
+_ENDS, _QUOTES = ".!?…؟۔।॥;‼⁇⁈⁉" + _WORD_END, "“”„«»‹›「」『』（）()《》〈〉【】[]［］‘’〔〕\""
+_START = re.compile(rf"[{re.escape(_ENDS + _QUOTES)}{_EMOJI}]")
+_RUN = {"end": re.compile(rf"[{_ENDS}]+"), "emoji": re.compile(rf"[{_EMOJI}]+(?:\s*[{_EMOJI}]+)*")}
+_KIND = {c: "end" for c in _ENDS} | {c: "quote" for c in _QUOTES}
+_URL, _THAI, _THAI_GAP = re.compile(r"https?://[!-~]+|www\.[!-~]+"), re.compile("[฀-๿]"), re.compile(r"(?<=[฀-๿])\s+")
+_WORD = re.compile(r'[^\s“„«「（("\[¿¡,，:：/]+$')
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])[^\S\n\r\x0b\x0c\x85  ]*(?:(?:\r\n|[\n\r\x0b\x0c\x85  ])[^\S\n\r\x0b\x0c\x85  ]*)+")
 _TAIL = re.compile(rf"(?:[”»›」』)）】\]］〕]|[.!?…。！？]|\s*[{_EMOJI}]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+_TAIL_FIRST = frozenset("”›»」』)）】]］〕.!?…。！？")
 _LETTERS = re.compile(r"[^\W\d_]")
 
 #: Evidence beyond which a candidate is cut or left out at once, the typical length of a sentence in
@@ -101,7 +109,7 @@ class _Block:
 
     def __init__(self, s: str) -> None:
         self.s = s
-        self.marks = list(_MARK.finditer(s))
+        self.marks = self._marks()
         first = _LETTERS.search(s)  # a block that begins with a small letter needs no capitals
         self.small = bool(first) and _low(first.group()) and not s[first.end() : first.end() + 1].isdigit()
         self.pairs = self._balance()
@@ -111,6 +119,26 @@ class _Block:
         self.evidence: list[float] = []
         self._candidates()
 
+    def _marks(self) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of addresses, runs of end marks and of emoji, quotation marks, Thai gaps."""
+        s = self.s
+        urls = [("url", m.start(), m.end()) for m in _URL.finditer(s)] if "://" in s or "www." in s else []
+        out, last, k = [], 0, 0
+        for m in _START.finditer(s):
+            i = m.start()
+            if i < last:
+                continue
+            while k < len(urls) and urls[k][2] <= i:
+                k += 1
+            if k < len(urls) and urls[k][1] <= i:
+                continue
+            kind = _KIND.get(s[i], "emoji")
+            last = i + 1 if kind == "quote" else _RUN[kind].match(s, i).end()
+            out.append((kind, i, last))
+        if urls or _THAI.search(s):
+            out = sorted([*out, *urls, *(("thai", m.start(), m.end()) for m in _THAI_GAP.finditer(s))], key=lambda m: m[1])
+        return out
+
     def _balance(self) -> list[tuple[int, int]]:
         """(open, close) of the outermost and inner balanced quotations; a lone mark doesn't count."""
         stack: list[int] = []
@@ -124,10 +152,10 @@ class _Block:
                 found.pop()
             return found[-1][0] if found else -1
 
-        for m in self.marks:
-            if m.lastgroup != "quote":
+        for kind, i, _ in self.marks:
+            if kind != "quote":
                 continue
-            c, i = m.group(), m.start()
+            c = self.s[i]
             if c in "’‘" and i and self.s[i - 1].isalnum():
                 k = held(c) if c == "’" and not self.s[i + 1 : i + 2].isalnum() else -1
                 if k < 0:
@@ -152,26 +180,23 @@ class _Block:
         return out
 
     def _word_before(self, i: int) -> str:
-        """The run of characters before i that holds no space or opening mark."""
-        a = i
-        while a > 0 and not self.s[a - 1].isspace() and self.s[a - 1] not in '“„«「（("[¿¡,，:：/' and i - a < 24:
-            a -= 1
-        return self.s[a:i]
+        """The run of characters before i that holds no space or opening mark, at most 24."""
+        m = _WORD.search(self.s, max(0, i - 24), i)
+        return m.group() if m else ""
 
     def _candidates(self) -> None:
         s, n, k, last = self.s, len(self.s), 0, 0
-        for m in self.marks:
-            kind, i = m.lastgroup, m.start()
+        for kind, i, stop in self.marks:
             if i < last:
                 continue
             while k < len(self.covered) and self.covered[k][1] < i:
                 k += 1
             inside = k < len(self.covered) and self.covered[k][0] <= i <= self.covered[k][1]
             if kind == "url":
-                last = m.end()
-                j = i + len(m.group().rstrip(".,;:!?)'\"”’]"))
-                if not inside and j < m.end() and s[j] in ".!?":
-                    self._mark(j, m.end())
+                last = stop
+                j = i + len(s[i:stop].rstrip(".,;:!?)'\"”’]"))
+                if not inside and j < stop and s[j] in ".!?":
+                    self._mark(j, stop)
                 continue
             if kind == "quote":
                 if inside and i == self.covered[k][1]:
@@ -179,7 +204,7 @@ class _Block:
                     inner = s[:i].rstrip()[-1:]
                     after = s[i + 1 : end].strip(CLOSERS + " \n\r\t  ")
                     if after and after[0] in ".!?…。！？":
-                        self._put(end, self._plain(end, after[0]))
+                        self._put(end, self._plain(end, after[0], *self._next(end)))
                     elif inner and (inner in ".!?…؟۔।॥;" + _WORD_END or inner in "”»"):
                         self._put(end, self._quote(self.covered[k][0], i, end))
                     elif after:
@@ -189,15 +214,15 @@ class _Block:
             if inside:
                 continue
             if kind == "end":
-                self._mark(i, m.end())
-                last = max(last, self.at[-1] if self.at and self.at[-1] > i else m.end())
+                self._mark(i, stop)
+                last = max(last, self.at[-1] if self.at and self.at[-1] > i else stop)
             elif kind == "emoji":
-                end = _TAIL.match(s, m.end()).end()
+                end = _TAIL.match(s, stop).end()
                 self._put(end, self._emoji(end))
                 last = end
-            elif kind == "thai" and m.end() < n:
+            elif kind == "thai" and stop < n:
                 word = s[max(0, i - 12) : i]
-                if THAI_LAST.search(word) and not re.match(r"(?:ครับ|ค่ะ|คะ|และ|หรือ|แต่|ฯ)", s[m.end() :]):
+                if THAI_LAST.search(word) and not re.match(r"(?:ครับ|ค่ะ|คะ|และ|หรือ|แต่|ฯ)", s[stop : stop + 8]):
                     self._put(i, 4.0 if re.search(r"(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)$", word) else -1.0)
         self._put(n, SURE + 1)
 
@@ -212,10 +237,13 @@ class _Block:
 
     def _next(self, end: int) -> tuple[str, bool, int]:
         """(the next character that isn't space, whether space came first, its place)."""
-        j = end
+        c = self.s[end : end + 1]
+        if not c.isspace():
+            return c, False, end
+        j = end + 1
         while j < len(self.s) and self.s[j].isspace():
             j += 1
-        return self.s[j : j + 1], j > end, j
+        return self.s[j : j + 1], True, j
 
     def _mark(self, i: int, stop: int) -> None:
         """A run of end marks from i."""
@@ -225,23 +253,23 @@ class _Block:
             return
         if run == ";" and not self._next(stop)[1] and stop < len(s):
             return
-        end = _TAIL.match(s, stop).end()
-        # closing marks taken by the tail may not belong to a quotation opened outside
-        word = self._word_before(i)
-        nxt, spaced, j = self._next(end)
-        dots = run.rstrip(" ")
+        end, (nxt, spaced, j) = stop, self._next(stop)
+        if nxt in _TAIL_FIRST or nxt >= "☀":  # closing marks or emoji follow
+            end = _TAIL.match(s, stop).end()
+            if end > stop:
+                nxt, spaced, j = self._next(end)
+        dots = run
         if not nxt:
             self._put(len(s), SURE + 1)
         elif set(dots) <= {"."} and len(dots) == 1:
-            self._put(end, self._period(i, end, word, nxt, spaced, j))
+            self._put(end, self._period(i, end, self._word_before(i), nxt, spaced, j))
         elif dots[0] in "…" or dots.startswith(".."):
             self._put(end, self._ellipsis(nxt, spaced))
         else:
-            self._put(end, self._plain(end, dots[-1]))
+            self._put(end, self._plain(end, dots[-1], nxt, spaced, j))
 
-    def _plain(self, end: int, mark: str) -> float:
+    def _plain(self, end: int, mark: str, nxt: str, spaced: bool, j: int) -> float:
         """Evidence after ! ? and their kin, or a period that nothing speaks against."""
-        nxt, spaced, j = self._next(end)
         if not nxt:
             return SURE + 1
         if mark in _WORD_END + "।॥؟۔":
@@ -454,7 +482,7 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(spark.read.parquet(f"{d}/documents.parquet"))
+    return split_sentences(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")))
 
 
 QUERIES = {"p8_found": p8_found}
