@@ -36,6 +36,7 @@ NEVER_LAST = frozenset(
 )
 #: Abbreviations that may end a sentence; they do before a capital.
 MAYBE_LAST = frozenset("etc jr sr inc ltd co corp a.m p.m am pm u.k u.s u.s.a e.u cm mm km kg g lb oz in ft usw т.д т.п г гг в κ.λπ κλπ κ.ά".split())
+_LONGEST = max(map(len, NEVER_LAST | MAYBE_LAST))
 #: Words with which a speaker's part goes on after a quotation.
 SPEECH = frozenset(
     """said says asked asks wrote writes texted replied answered shouted called whispered added cried is was
@@ -294,6 +295,8 @@ class _Block:
 
     def _period(self, i: int, end: int, word: str, nxt: str, spaced: bool, j: int) -> float:
         s = self.s
+        if spaced and len(word) > _LONGEST and nxt.isupper() and word.isalpha():
+            return SURE + 1  # longer than any abbreviation
         low = word.lower().strip("'’").rstrip(".")
         parts = low.split(".")
         if len(parts) > 1 and all(p in NEVER_LAST or len(p) == 1 and not p.isascii() for p in parts):
@@ -410,16 +413,19 @@ def block_sentences(s: str) -> Iterator[tuple[int, int]]:
     b = _Block(s)
     start, held = 0, []
     for at, e in zip(b.at, b.evidence):
-        held.append((at, e))
-        if e >= SURE:
+        if e < SURE:
+            held.append((at, e))
+            continue
+        if held:
+            held.append((at, e))
             yield from _best(b, start, held)
-            start, held = at, []
+            held = []
+        else:
+            yield start, at
+        start = at
 
 
 def _best(b: _Block, start: int, held: list[tuple[int, float]]) -> Iterator[tuple[int, int]]:
-    if len(held) == 1:
-        yield start, held[0][0]
-        return
     places = [start, *(at for at, _ in held)]
     best, back = [0.0] + [-math.inf] * len(held), [0] * (len(held) + 1)
     units, heads, tails = [0], [], [""]  # letters up to each place, the first and last words around it
@@ -448,11 +454,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         for a, e in blocks(text):
             s = text[a:e]
             for i, j in block_sentences(s):
-                part = s[i:j]
-                inner = part.strip()
-                if inner:
-                    i += len(part) - len(part.lstrip())
-                    out.append((a + i, a + i + len(inner)))
+                while i < j and s[i].isspace():
+                    i += 1
+                while i < j and s[j - 1].isspace():
+                    j -= 1
+                if i < j:
+                    out.append((a + i, a + j))
     return out
 
 
@@ -464,7 +471,9 @@ def sentence_spans(text: Column | str) -> Column:
 
     @F.arrow_udf(_SPAN)
     def cut(col: pa.Array) -> pa.Array:
-        rows = [sentences(x) for x in col.to_pylist()]
+        coded = col.dictionary_encode()  # a text that is posted again is cut once
+        once = [sentences(x) for x in coded.dictionary.to_pylist()]
+        rows = [[] if k is None else once[k] for k in coded.indices.to_pylist()]
         flat = [x for r in rows for x in r]
         offsets = [0]
         for r in rows:
