@@ -13,7 +13,7 @@ from lakeloom.functions.runtime import cut
 from lakeloom.functions.stats import midranks
 from lakeloom.operators.graphs import components
 
-#: Members of a batch at most; the fit's default regularisation, strength of ties and tolerance.
+#: Members of a batch as a rule; the fit's default regularisation, strength of ties and tolerance.
 MAX_BATCH, REGULAR, TIES, TOLERANCE = 16, 0.1, 1.0, 1e-5
 #: Distinct pairs up to which a fit's rounds run in numpy; beyond, every round is a distributed job.
 LOCAL_PAIRS = 100_000
@@ -21,9 +21,12 @@ LOCAL_PAIRS = 100_000
 
 def pairs(batches: DataFrame) -> DataFrame:
     """(batch, i, j, y, w) of batches (batch, tiers): every two members in the order of their tiers,
-    y 1 if the first lies in a better tier and a half in the same, each batch weighing as much."""
+    y 1 if the first lies in a better tier and a half in the same, each batch weighing as much.
+
+    A batch of any size is expanded exactly, at a cost that is quadratic in it; who makes the batches
+    bounds them."""
     flat = F.flatten(F.transform("tiers", lambda t, k: F.transform(t, lambda m: F.struct(k.alias("tier"), m.alias("item")))))
-    m = batches.select("batch", flat.alias("m")).withColumn("n", F.size("m")).where((F.col("n") > 1) & (F.col("n") <= MAX_BATCH))
+    m = batches.select("batch", flat.alias("m")).withColumn("n", F.size("m")).where("n > 1")
     firsts = m.select("batch", "m", "n", F.posexplode("m").alias("p", "a"))
     both = firsts.select("batch", "n", "a", F.explode(F.slice("m", F.col("p") + 2, F.col("n"))).alias("b"))
     y = F.when(F.col("a.tier") < F.col("b.tier"), 1.0).otherwise(0.5)
@@ -135,6 +138,16 @@ def latest_review(reviews: DataFrame, until: int) -> DataFrame:
     return seen.groupBy("ordinal").agg(F.max_by("decision", "seq").alias("decision"))
 
 
+def even_batches(items: DataFrame, key: str, size: int = MAX_BATCH) -> DataFrame:
+    """items with batch: all of them by key in batches of size, of which the last takes what is left over
+    (so at most 2 * size - 1 members, and no item is alone unless it's the only one)."""
+    from lakeloom.functions.runtime import global_positions
+
+    placed = global_positions(items, [F.col(key)])
+    last = max(placed.count() // size, 1) - 1
+    return placed.withColumn("batch", F.least(F.floor(F.col("pos") / size), F.lit(last)).cast("long")).drop("pos")
+
+
 def next_batches(items: DataFrame, percentile: str, key: str, seed: str, size: int = MAX_BATCH) -> DataFrame:
     """(key, batch, place): items put together with neighbours in percentile for the next comparison;
     windows of 4 * size neighbours are shuffled by a hash and cut into batches of size."""

@@ -67,13 +67,38 @@ def byte_batches(spark: SparkSession, d: str) -> DataFrame:
     return V.byte_batches(parts, ["p_partkey"], "p_size", 500).groupBy("batch").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
 
 
-def _batches(spark: SparkSession, d: str) -> DataFrame:
-    """Parts in batches of up to 12 by brand and key, in tiers by size."""
-    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % 211).alias("batch"), F.floor(F.col("p_size") / 10).cast("int").alias("tier"))
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.floor(F.col("p_size") / 10).cast("int").alias("tier"))
+
+
+def _tiered(parts: DataFrame) -> DataFrame:
     tiers = parts.groupBy("batch", "tier").agg(F.sort_array(F.collect_list("p_partkey")).alias("items"))
     return tiers.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("tier", "items"))), lambda t: t["items"]).alias("tiers"))
 
 
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by the rest of their key, in tiers by size; as the SQL says, only batches of at most 16, which
+    are all of them in small tables and none in large ones."""
+    return _tiered(_parts(spark, d).withColumn("batch", F.col("p_partkey") % 211)).where(F.size(F.flatten("tiers")) <= 16)
+
+
+def _all_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All parts in batches of 16 by key, in tiers by size."""
+    return _tiered(P.even_batches(_parts(spark, d), "p_partkey"))
+
+
+def pair_expand_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.pairs(_all_batches(spark, d)).select("batch", "i", "j", "y", F.round("w", 9).alias("w"))
+
+
+def borda_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.borda(P.pairs(_all_batches(spark, d))).select("item", F.round("score", 9).alias("score"), "exposures")
+
+
+def davidson_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.davidson(P.pairs(_all_batches(spark, d))).select("item", "component", F.round("score", 4).alias("score"))
+
+
 def pair_expand(spark: SparkSession, d: str) -> DataFrame:
     return P.pairs(_batches(spark, d)).select("batch", "i", "j", "y", F.round("w", 9).alias("w"))
 
@@ -150,6 +175,7 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_probed": knn_probed, "q_hamming_pairs": hamming, "q_hamming_members": hamming_members, "q_coverage": coverage, "q_byte_batches": byte_batches,
     "q_pair_expand": pair_expand, "q_borda": borda, "q_davidson": davidson, "q_rank_ties": rank_ties, "q_snapshot_compare": snapshot_compare, "q_components": components, "q_depths": depths,
+    "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_davidson_all": davidson_all,
     "q_scalar_column": scalars, "q_export_names": export_names, "q_manifest": manifest, "q_fingerprints": fingerprints,
 }
 _DIST = f"SELECT e.vec_id, label, 1 - list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY})) AS dist FROM embeddings e"
