@@ -312,30 +312,43 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 #: SQL types for the Arrow types that a column of the consistent table may have.
 _SQL_TYPES = {"bool": "boolean", "int8": "bigint", "int16": "bigint", "int32": "bigint", "int64": "bigint", "uint8": "bigint", "uint16": "bigint", "uint32": "bigint", "float": "double", "double": "double"}
+#: Types of JSON values that each of them holds as they are.
+_HELD = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "BIGINT|DOUBLE|DECIMAL.*"}
 
 
 def unified(records: DataFrame, versions: DataFrame, version: str, text: str, keep: list[str]) -> DataFrame:
-    """All records in one table: keep, lineage, and one column per consistent field of any lineage.
+    """All records in one table: keep, lineage, one column per consistent field of any lineage, and rest.
 
-    A column has the type that all lineages' last versions agree on, else text; a value that can't
-    be cast to it is null, nested values are JSON text. The schemas (a bounded set) are collected
-    to name the columns; each record finds its names by a join on its version. Records of unknown
-    versions stay, with null fields."""
+    A column has the type that all versions of all lineages agree on, else text; nested values are JSON
+    text. rest is a JSON object, null if empty, of what no column holds: values that a column's type
+    can't hold as they are, fields that the record's version doesn't name (for an unknown version all of
+    them), and under '$' a text that isn't a JSON object. The schemas (a bounded set) are collected to
+    name the columns; each record finds its names by a join on its version."""
     names = consistent_names(versions)
-    plan = names.groupBy("column", "lineage").agg(F.max_by("type", "step").alias("type")).groupBy("column").agg(F.collect_set("type").alias("types")).collect()
+    plan = names.groupBy("column").agg(F.collect_set("type").alias("types")).collect()
     own = names.groupBy(F.col("version").alias("__v"), "lineage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "field")))).alias("__names"))
     rows = records.join(own, records[version] == own["__v"], "left")
     spark = records.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = F.expr(f"try_variant_get(try_parse_json(`{text}`), '$', 'map<string,variant>')").alias("__m")
-    rows = rows.select(*keep, "lineage", "__names", parsed)
-    cols = []
+    rows = rows.select(*keep, "lineage", "__names", parsed, F.col(text).alias("__text"))
+    cols, unfit = [], []
     for name, types in sorted((r[0], set(r[1])) for r in plan):
         kinds = {_SQL_TYPES.get(t, "string") for t in types}
         kind = kinds.pop() if len(kinds) == 1 else "string"
         safe = name.replace("`", "").replace("'", "")
-        cols.append(F.expr(f"try_variant_get(try_element_at(__m, __names['{safe}']), '$', '{kind}') AS `f_{safe}`"))
-    return rows.select(*keep, "lineage", *cols)
+        value = f"try_element_at(__m, __names['{safe}'])"
+        cast = f"try_variant_get({value}, '$', '{kind}')"
+        if kind != "string":
+            fits = f"({cast} IS NOT NULL AND (schema_of_variant({value}) RLIKE '^({_HELD[kind]})$' OR try_variant_get({value}, '$', 'string') = CAST({cast} AS STRING)))"
+            unfit.append(f"IF({fits}, NULL, __names['{safe}'])")
+            cast = f"IF({fits}, {cast}, NULL)"
+        cols.append(F.expr(f"{cast} AS `f_{safe}`"))
+    known = "coalesce(array_except(map_values(__names), __unfit), CAST(array() AS array<string>))"
+    left = f"map_filter(__m, (k, v) -> NOT is_variant_null(v) AND NOT array_contains({known}, k))"
+    rest = f"CASE WHEN __m IS NULL THEN to_json(map('$', __text)) WHEN size({left}) > 0 THEN to_json({left}) END"
+    rows = rows.withColumn("__unfit", F.expr(f"array({', '.join(unfit) or 'CAST(NULL AS STRING)'})"))
+    return rows.select(*keep, "lineage", *cols, F.when(F.col("__text").isNotNull(), F.expr(rest)).alias("rest"))
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Queries that do the whole job, against plain recomputation."""
 
 import itertools
-from collections import Counter, defaultdict
+import json
+from collections import defaultdict
 
-from lakeloom.operators import preference as P
+from lakeloom.operators import preference as P, schemas
 from lakeloom.plans import analyses
 
 
@@ -29,3 +30,21 @@ def test_all_parts_are_compared(spark, tmp_path):
         met[r.i].add(r.y)
         met[r.j].add(1 - r.y)
     assert {r["item"] for r in analyses.borda_all(spark, d).collect()} == {r["item"] for r in analyses.davidson_all(spark, d).collect()} == set(keys) == met.keys()
+
+
+def versions(spark, rows):
+    """Rows of (lineage, version, rank, {field: type})."""
+    tree = lambda fields: json.dumps([{"name": n, "id": None, "aliases": [], "type": t} for n, t in fields.items()])
+    return spark.createDataFrame([(x, v, r, "name,normal", tree(f)) for x, v, r, f in rows], "lineage string, version string, rank long, kinds string, tree string")
+
+
+def test_unified_loses_no_value(spark):
+    v = versions(spark, [("x", "1", 1, {"talk": "string", "n": "int64", "d": "double"}), ("x", "2", 2, {"talk": "int64", "n": "int64", "d": "double"})])
+    texts = [("1", '{"talk": "apron", "n": "many", "d": 1}'), ("2", '{"talk": 5, "n": "7", "d": 1.5}'), ("2", '{"n": 7.5, "d": {"a": 1}, "new": [1]}'), ("?", '{"a": 1, "b": null}'), ("2", "[3]"), ("2", None)]
+    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, version string, text string")
+    rows = sorted(schemas.unified(df, v, "version", "text", ["k"]).collect())
+    got = [(r.f_talk, r.f_n, r.f_d, r.rest and json.loads(r.rest)) for r in rows]
+    assert got == [
+        ("apron", None, 1.0, {"n": "many"}), ("5", 7, 1.5, None), (None, None, None, {"n": 7.5, "d": {"a": 1}, "new": [1]}),
+        (None, None, None, {"a": 1}), (None, None, None, {"$": "[3]"}), (None, None, None, None),
+    ]
