@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.functions.payloads import body_text, inflate_checked
+from lakeloom.functions.payloads import body_text, inflate_checked, is_readable
 from lakeloom.functions.skeletons import parse
 
 #: Kinds of evidence in the order in which they're tried, with the similarity they start from.
@@ -232,13 +233,35 @@ def _value_type(v: object) -> str | None:
     return "boolean" if isinstance(v, bool) else "nested" if isinstance(v, (dict, list)) else "string" if isinstance(v, str) else "number"
 
 
-def payload_keys(v: object) -> Iterator[tuple[str, str | None]]:
-    """The own keys of the payloads of a capture's body, with the types of their values."""
+def payloads(v: object) -> Iterator[tuple[int, dict]]:
+    """The payloads of a capture's body with their positions."""
     if isinstance(v, dict):
         payload = v["body"] if v.get("body") is not None else (v.get("resource_response") or {}).get("data") if isinstance(v.get("resource_response") or {}, dict) else None
-        for p in payload if isinstance(payload, list) else [payload]:
-            if isinstance(p, dict):
-                yield from ((k, _value_type(x)) for k, x in p.items())
+        yield from ((k, p) for k, p in enumerate(payload if isinstance(payload, list) else [payload]) if isinstance(p, dict))
+
+
+def payload_keys(v: object) -> Iterator[tuple[str, str | None]]:
+    """The own keys of the payloads of a capture's body, with the types of their values."""
+    for _, p in payloads(v):
+        yield from ((k, _value_type(x)) for k, x in p.items())
+
+
+#: Captures whose payloads count, if they can be read.
+GOOD = "http_status = 200 AND source_error IS NULL AND raw_format = 'json' AND endpoint IS NOT NULL AND adapter_version IS NOT NULL"
+
+
+def capture_payloads(captures: DataFrame) -> DataFrame:
+    """(capture_id, element, lineage, version, text) of the payloads of readable good captures, each
+    capture once: of several readable rows the one with the least hash."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, k, f"captures:{e}", v, json.dumps(p, ensure_ascii=False)) for c, e, v, data in zip(b["capture_id"], b["endpoint"], b["adapter_version"], b["raw_zlib"]) for k, p in payloads(parse(body_text(zlib.decompress(data))))]
+            yield pd.DataFrame(rows, columns=["capture_id", "element", "lineage", "version", "text"])
+
+    readable = captures.where(GOOD).where(is_readable("raw_zlib", "raw_bytes", "raw_sha256"))
+    once = readable.groupBy("capture_id").agg(F.min(F.struct("raw_sha256", "endpoint", "adapter_version", "raw_zlib")).alias("c")).select("capture_id", "c.*")
+    return once.mapInPandas(read, "capture_id string, element int, lineage string, version string, text string")
 
 
 def capture_versions(captures: DataFrame) -> DataFrame:
@@ -254,8 +277,7 @@ def capture_versions(captures: DataFrame) -> DataFrame:
                     found.update((endpoint, version, *x) for x in payload_keys(parse(body_text(body))))
         yield pd.DataFrame(sorted(found, key=str), columns=["endpoint", "version", "key", "type"])
 
-    good = captures.where("http_status = 200 AND source_error IS NULL AND raw_format = 'json' AND endpoint IS NOT NULL AND adapter_version IS NOT NULL")
-    rows = good.select("endpoint", "adapter_version", "raw_zlib", "raw_bytes", "raw_sha256").mapInPandas(keys, "endpoint string, version string, key string, type string")
+    rows = captures.where(GOOD).select("endpoint", "adapter_version", "raw_zlib", "raw_bytes", "raw_sha256").mapInPandas(keys, "endpoint string, version string, key string, type string")
     fields = rows.groupBy("endpoint", "version", "key").agg(F.array_sort(F.collect_set("type")).alias("types"))
     named = F.when(F.col("key").isNotNull(), F.struct(F.col("key").alias("name"), F.concat(F.lit("{"), F.array_join("types", ","), F.lit("}")).alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("id")))
     trees = fields.groupBy("endpoint", "version").agg(F.to_json(F.array_sort(F.collect_list(named)), {"ignoreNullFields": "false"}).alias("tree"))
@@ -316,18 +338,24 @@ _SQL_TYPES = {"bool": "boolean", "int8": "bigint", "int16": "bigint", "int32": "
 _HELD = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "BIGINT|DOUBLE|DECIMAL.*"}
 
 
-def unified(records: DataFrame, versions: DataFrame, version: str, text: str, keep: list[str]) -> DataFrame:
+def unified(records: DataFrame, versions: DataFrame, version: str, text: str, keep: list[str], lineage: str | None = None) -> DataFrame:
     """All records in one table: keep, lineage, one column per consistent field of any lineage, and rest.
 
     A column has the type that all versions of all lineages agree on, else text; nested values are JSON
     text. rest is a JSON object, null if empty, of what no column holds: values that a column's type
     can't hold as they are, fields that the record's version doesn't name (for an unknown version all of
     them), and under '$' a text that isn't a JSON object. The schemas (a bounded set) are collected to
-    name the columns; each record finds its names by a join on its version."""
+    name the columns; each record finds its names by a join on its version, and, where lineage names a
+    column of the records that isn't null, on that too (versions of captures have the same names in
+    many lineages). A set of types without any value has no say."""
     names = consistent_names(versions)
-    plan = names.groupBy("column").agg(F.collect_set("type").alias("types")).collect()
+    plan = names.groupBy("column").agg(F.collect_set(F.when(F.col("type") != "{}", F.col("type"))).alias("types")).collect()
     own = names.groupBy(F.col("version").alias("__v"), "lineage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "field")))).alias("__names"))
-    rows = records.join(own, records[version] == own["__v"], "left")
+    same = records[version] == own["__v"]
+    if lineage is not None:
+        captured = F.when(own["lineage"].startswith("captures:"), own["lineage"])
+        same = same & (F.coalesce(records[lineage], F.lit("")) == F.coalesce(captured, F.lit("")))
+    rows = records.join(own, same, "left").drop(*([records[lineage]] if lineage is not None else []))
     spark = records.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = F.expr(f"try_variant_get(try_parse_json(`{text}`), '$', 'map<string,variant>')").alias("__m")
@@ -354,3 +382,14 @@ def unified(records: DataFrame, versions: DataFrame, version: str, text: str, ke
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     records = spark.read.parquet(f"{d}/raw_metadata.parquet").distinct()
     return unified(records, _versions(spark, d), "source_schema_id", "source_metadata_json", ["raw_row", "observation_id", "source_schema_id"])
+
+
+def p3_unified_all(spark: SparkSession, d: str) -> DataFrame:
+    """The exports' records and the captures' payloads in one table; record_id is the raw_row or the
+    capture_id, element the payload's position in its capture."""
+    captures = spark.read.parquet(f"{d}/captures.parquet")
+    raw = spark.read.parquet(f"{d}/raw_metadata.parquet").distinct()
+    exports = raw.select(F.col("raw_row").cast("string").alias("record_id"), F.lit(None).cast("int").alias("element"), "observation_id", F.lit(None).cast("string").alias("captured"), F.col("source_schema_id").alias("version"), F.col("source_metadata_json").alias("text"))
+    found = capture_payloads(captures).select(F.col("capture_id").alias("record_id"), "element", F.lit(None).cast("string").alias("observation_id"), F.col("lineage").alias("captured"), "version", "text")
+    versions = _versions(spark, d).union(capture_versions(captures))
+    return unified(exports.unionByName(found), versions, "version", "text", ["record_id", "element", "observation_id", "version"], "captured")

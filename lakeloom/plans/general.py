@@ -9,6 +9,7 @@ QUERIES = {
     "p1_comments": lambda spark, d: nested.all_children(spark, d, only="comments").selectExpr("source_field", "record_id", "node_path", "parent_path", "values['id'] AS comment_id", "values['text'] AS text"),
     "p3_found": schemas.p3_found,
     "p3_unified": schemas.p3_unified,
+    "p3_unified_all": schemas.p3_unified_all,
     "p4_found": snapshots.p4_found,
     "p4_values": snapshots.p4_values,
 }
