@@ -10,7 +10,7 @@ from lakeloom.functions import stats
 from lakeloom.functions.top import first_k, first_rows
 from lakeloom.operators import ranking as R
 from lakeloom.plans.rankings import _POP, _heated, population
-from lakeloom.sources.lake import LAKE_SQL, from_members
+from lakeloom.sources.lake import LAKE_SQL, Lake, from_members
 
 MAX_TAGS, MAX_GROUP = 128, 64
 
@@ -32,16 +32,26 @@ def boolean_tags(spark: SparkSession, d: str) -> DataFrame:
     return from_members(spark, d).observations.where(p).select("row_id")
 
 
-def history(spark: SparkSession, d: str) -> DataFrame:
-    """The observations linked to each asset of objects below a hash: its own, and others of its post."""
-    lake = from_members(spark, d)
-    some = lake.assets.where("sha256 < '04'").select("asset_id", F.col("row_id").alias("own"), F.col("post_id").alias("post"))
+def _linked(lake: Lake, assets: DataFrame) -> DataFrame:
+    some = assets.select("asset_id", F.col("row_id").alias("own"), F.col("post_id").alias("post"))
     o = lake.observations.select("row_id", "post_id", "commit_seq")
     origin = some.join(o, F.col("own") == F.col("row_id")).select("asset_id", "row_id", "commit_seq", F.lit("origin").alias("relation"))
     same = some.join(o, F.col("post") == F.col("post_id")).where("own <> row_id").select("asset_id", "row_id", "commit_seq", F.lit("same_post").alias("relation"))
     return origin.unionByName(same)
 
 
+def history(spark: SparkSession, d: str) -> DataFrame:
+    """The observations linked to each asset of objects below a hash: its own, and others of its post."""
+    lake = from_members(spark, d)
+    return _linked(lake, lake.assets.where("sha256 < '04'"))
+
+
+def history_all(spark: SparkSession, d: str) -> DataFrame:
+    """The observations linked to each asset."""
+    lake = from_members(spark, d)
+    return _linked(lake, lake.assets)
+
+
 def object_overview(spark: SparkSession, d: str) -> DataFrame:
     """Each object: its assets, posts, and its first three posts."""
     lake = from_members(spark, d)
@@ -97,7 +107,7 @@ def top_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "q_boolean_tags": boolean_tags, "q_history": history, "q_object_overview": object_overview, "q_representatives": representatives, "q_raw_record": raw_record, "q_maker_prior": maker_priors,
+    "q_boolean_tags": boolean_tags, "q_history": history, "q_history_all": history_all, "q_object_overview": object_overview, "q_representatives": representatives, "q_raw_record": raw_record, "q_maker_prior": maker_priors,
     "q_duplicate_heat_highest": _duplicates("highest"), "q_duplicate_heat_sum": _duplicates("sum"), "q_metric_merge": metric_merge, "q_top_rows": top_customers,
 }
 _HAS = "list_contains(string_split(tag_string, ' '), '{}')"

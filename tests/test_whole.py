@@ -7,7 +7,8 @@ import zlib
 from collections import defaultdict
 
 from lakeloom.operators import preference as P, schemas
-from lakeloom.plans import analyses
+from lakeloom.plans import analyses, details
+from lakeloom.sources.lake import from_members
 
 
 def test_batches_of_any_size_give_all_pairs(spark):
@@ -68,3 +69,12 @@ def test_unified_holds_exports_and_captures(spark, data, duck):
     got = [(r.record_id, r.element, r.lineage, r.version, sum(r[c] is not None for c in fields) + len(json.loads(r.rest or "{}"))) for r in df.where("lineage LIKE 'captures:%'").collect()]
     assert set(got) == want and len(got) == len(want) > 0
     assert df.where("element IS NULL").count() == schemas.p3_unified(spark, data).count()
+
+
+def test_history_of_every_asset(spark, data):
+    lake = from_members(spark, data)
+    observed = [(r.row_id, r.post_id, r.commit_seq) for r in lake.observations.collect()]
+    assets = lake.assets.collect()
+    want = sorted((a.asset_id, r, c, "origin" if r == a.row_id else "same_post") for a in assets for r, p, c in observed if r == a.row_id or (p is not None and p == a.post_id))
+    assert sorted(map(tuple, details.history_all(spark, data).collect())) == want
+    assert {x[0] for x in want} == {a.asset_id for a in assets}
