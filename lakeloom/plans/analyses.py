@@ -128,9 +128,14 @@ def snapshot_compare(spark: SparkSession, d: str) -> DataFrame:
     return P.compare_snapshots(a, b, "brand").select("brand", "n", F.round("correlation", 6).alias("correlation"), F.round("distance", 6).alias("distance"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def _all_links(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    """Suppliers and parts that lines connect."""
+    return spark.read.parquet(f"{d}/lineitem.parquet").where(which).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and parts that lines of large orders connect."""
-    return spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 50 AND l_discount >= 0.08").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
+    return _all_links(spark, d, "l_quantity = 50 AND l_discount >= 0.08")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +150,19 @@ def depths(spark: SparkSession, d: str) -> DataFrame:
     return graphs.least_depths(roots, edges, 4)
 
 
+def components_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.components(_all_links(spark, d))
+
+
+def depths_all(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes within four steps of the parts of size 1 over all links."""
+    links = _all_links(spark, d).distinct()
+    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).withColumn("step", F.lit(1))
+    small = spark.read.parquet(f"{d}/part.parquet").where("p_size = 1").select(F.col("p_partkey").alias("a"))
+    roots = links.join(small, "a", "left_semi").select(F.col("a").alias("node")).distinct().withColumn("depth", F.lit(0))
+    return graphs.least_depths(roots, edges, 4)
+
+
 _LINKS = "l AS (SELECT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.08), e AS (SELECT a AS s, b AS t FROM l UNION SELECT b, a FROM l)"
 
 
@@ -175,7 +193,7 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_probed": knn_probed, "q_hamming_pairs": hamming, "q_hamming_members": hamming_members, "q_coverage": coverage, "q_byte_batches": byte_batches,
     "q_pair_expand": pair_expand, "q_borda": borda, "q_davidson": davidson, "q_rank_ties": rank_ties, "q_snapshot_compare": snapshot_compare, "q_components": components, "q_depths": depths,
-    "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_davidson_all": davidson_all,
+    "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_davidson_all": davidson_all, "q_components_all": components_all, "q_depths_all": depths_all,
     "q_scalar_column": scalars, "q_export_names": export_names, "q_manifest": manifest, "q_fingerprints": fingerprints,
 }
 _DIST = f"SELECT e.vec_id, label, 1 - list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY})) AS dist FROM embeddings e"

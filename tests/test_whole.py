@@ -78,3 +78,28 @@ def test_history_of_every_asset(spark, data):
     want = sorted((a.asset_id, r, c, "origin" if r == a.row_id else "same_post") for a in assets for r, p, c in observed if r == a.row_id or (p is not None and p == a.post_id))
     assert sorted(map(tuple, details.history_all(spark, data).collect())) == want
     assert {x[0] for x in want} == {a.asset_id for a in assets}
+
+
+def test_graph_of_all_lines(spark, tmp_path):
+    links = [(p, s, q, 0.01 * q) for p, s, q in [(1, 1, 3), (2, 1, 50), (2, 2, 4), (3, 3, 5), (30, 3, 6), (30, 4, 1), (31, 4, 2), (31, 5, 3), (40, 9, 7), (40, 9, 7)]]
+    spark.createDataFrame(links, "l_partkey long, l_suppkey long, l_quantity int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, 1 if p in (1, 3, 99) else 5) for p in (1, 2, 3, 30, 31, 40, 99)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    far, parent, near = 10_000_000, {}, defaultdict(set)
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for p, s, *_ in links:
+        x, y = root(p), root(s + far)
+        parent[max(x, y)] = min(x, y)
+        near[p].add(s + far)
+        near[s + far].add(p)
+    assert {r.node: r.component for r in analyses.components_all(spark, str(tmp_path)).collect()} == {x: root(x) for x in parent}
+    depth = dict.fromkeys((1, 3), 0)
+    for step in range(1, 5):
+        for x in [x for x, k in depth.items() if k == step - 1]:
+            for y in near[x]:
+                depth.setdefault(y, step)
+    assert {r.node: r.depth for r in analyses.depths_all(spark, str(tmp_path)).collect()} == depth and max(depth.values()) == 4
