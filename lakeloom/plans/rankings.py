@@ -57,11 +57,16 @@ def window_rank(spark: SparkSession, d: str) -> DataFrame:
     return R.window_ranks(rows, ["rating"], "t", "lo", "hi", "heat").select("id", "n", "less", "equal")
 
 
-def cohort(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.cohort_percentiles(_heated(spark, d), ["rating"], "created", "age_low", "age_high", "heat", 200, R.LADDER[:2])
+def cohort(spark: SparkSession, d: str, ladder: list[tuple[int, list[int]]] = R.LADDER[:2]) -> DataFrame:
+    rows = R.cohort_percentiles(_heated(spark, d), ["rating"], "created", "age_low", "age_high", "heat", 200, ladder)
     return rows.select("id", "level", "cohort_n", F.round("local", 9).alias("local"))
 
 
+def cohort_all(spark: SparkSession, d: str) -> DataFrame:
+    """On all rungs of the ladder."""
+    return cohort(spark, d, R.LADDER)
+
+
 _COHORT = f"""{_POP}, a AS (SELECT *, CASE WHEN age >= 0 THEN len(list_filter_count) END AS b FROM (SELECT *, [e FOR e IN {_EDGES} IF e::HUGEINT * 86400000000 <= age] AS list_filter_count FROM h)),
 w AS (SELECT x.id, m, count(*) AS n, (sum(CASE WHEN y.heat < x.heat THEN 1.0 WHEN y.heat = x.heat THEN 0.5 ELSE 0 END)) / count(*) AS p
   FROM a x CROSS JOIN (VALUES (6), (12)) months(m) JOIN a y ON y.rating = x.rating AND y.b = x.b AND y.heat IS NOT NULL AND y.created BETWEEN x.created - to_months(m) AND x.created + to_months(m) WHERE x.heat IS NOT NULL GROUP BY ALL),
@@ -127,7 +132,7 @@ def year_selection(spark: SparkSession, d: str) -> DataFrame:
 
 _MID = "(rank() OVER (PARTITION BY rating ORDER BY heat) - 1 + count(*) OVER (PARTITION BY rating, heat) / 2) / count(*) OVER (PARTITION BY rating)"
 QUERIES = {
-    "q_heat_percentile": heat_percentile, "q_vote_penalty": vote_penalty, "q_age_buckets": age_buckets, "q_window_rank": window_rank, "q_cohort_percentile": cohort, "q_shrunk_percentile": shrunk_percentile,
+    "q_heat_percentile": heat_percentile, "q_vote_penalty": vote_penalty, "q_age_buckets": age_buckets, "q_window_rank": window_rank, "q_cohort_percentile": cohort, "q_cohort_percentile_all": cohort_all, "q_shrunk_percentile": shrunk_percentile,
     "q_main_rank": main_rank, "q_weighted_percentile": weighted_percentile, "q_effective_size": effective_sizes, "q_quota_routes": quota_routes, "q_year_selection": year_selection,
 }
 SQL = {

@@ -6,8 +6,8 @@ import json
 import zlib
 from collections import defaultdict
 
-from lakeloom.operators import preference as P, schemas
-from lakeloom.plans import analyses, details
+from lakeloom.operators import preference as P, ranking as R, schemas
+from lakeloom.plans import analyses, details, rankings
 from lakeloom.sources.lake import from_members
 
 
@@ -103,3 +103,14 @@ def test_graph_of_all_lines(spark, tmp_path):
             for y in near[x]:
                 depth.setdefault(y, step)
     assert {r.node: r.depth for r in analyses.depths_all(spark, str(tmp_path)).collect()} == depth and max(depth.values()) == 4
+
+
+def test_all_rungs_of_the_cohort_ladder(spark, data, duck):
+    rungs = " UNION ALL ".join(f"SELECT {k} AS level, {m} AS m, id, rating, created, heat, age, CASE WHEN age >= 0 THEN len([e FOR e IN {edges} IF e::HUGEINT * 86400000000 <= age]) END AS b FROM h" for k, (m, edges) in enumerate(R.LADDER))
+    sql = f"""{rankings._POP}, a AS ({rungs}),
+    w AS (SELECT x.id, x.level, count(*) AS n, sum(CASE WHEN y.heat < x.heat THEN 1.0 WHEN y.heat = x.heat THEN 0.5 ELSE 0 END) / count(*) AS p FROM a x JOIN a y ON x.level = y.level AND x.rating = y.rating AND x.b = y.b
+      AND y.created BETWEEN x.created - to_months(x.m) AND x.created + to_months(x.m) WHERE x.heat IS NOT NULL AND y.heat IS NOT NULL GROUP BY ALL HAVING count(*) >= 200)
+    SELECT h.id, level, n, round(p, 9) FROM h LEFT JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY level) = 1) USING (id)"""
+    want = {r[0]: (r[1], r[2], r[3] and round(r[3], 6)) for r in duck.sql(sql).fetchall()}
+    got = {r.id: (r.level, r.cohort_n, r.local and round(r.local, 6)) for r in rankings.cohort_all(spark, data).collect()}
+    assert got == want and any((x[0] or 0) > 1 for x in got.values())
