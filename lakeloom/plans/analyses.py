@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeloom.operators import graphs, preference as P, rows as ops, vectors as V
@@ -35,6 +36,37 @@ def knn_probed(spark: SparkSession, d: str) -> DataFrame:
     return V.batch_nearest(asked, index, "vec_id", centroids, 10, max(4, len(centroids) // 2))
 
 
+def _each_nearest(spark: SparkSession, d: str, k: int, rows: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all of rows, exactly: an index of one list."""
+    everything = _vectors(spark, d)
+    some = everything.where(V.normalised("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
+    one = np.zeros((1, some["n"] if some else 1))
+    asked = everything.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), V.normalised("embedding").alias("u")).where("u IS NOT NULL")
+    found = V.batch_nearest(asked, V.indexed(rows, "vec_id", "embedding", one), "vec_id", one, k, 1)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def knn_all(spark: SparkSession, d: str) -> DataFrame:
+    return _each_nearest(spark, d, 20, _vectors(spark, d))
+
+
+def knn_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    return _each_nearest(spark, d, 10, _vectors(spark, d).where(F.col("label").isin(1, 3)))
+
+
+def _sign_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The signs of all 64 components."""
+    return _vectors(spark, d).select("vec_id", V.sign_hash("embedding").alias("hash"))
+
+
+def hamming_all(spark: SparkSession, d: str) -> DataFrame:
+    return V.hamming_pairs(V.hamming_classes(_sign_hashes(spark, d), "vec_id", "hash")[0], 7)
+
+
+def hamming_members_all(spark: SparkSession, d: str) -> DataFrame:
+    return V.hamming_classes(_sign_hashes(spark, d), "vec_id", "hash")[1]
+
+
 def _hashes(spark: SparkSession, d: str) -> DataFrame:
     """The signs of 16 components, four times over: vectors that differ in one of them are near."""
     few = F.slice("embedding", 1, 16)
@@ -194,6 +226,7 @@ QUERIES = {
     "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_probed": knn_probed, "q_hamming_pairs": hamming, "q_hamming_members": hamming_members, "q_coverage": coverage, "q_byte_batches": byte_batches,
     "q_pair_expand": pair_expand, "q_borda": borda, "q_davidson": davidson, "q_rank_ties": rank_ties, "q_snapshot_compare": snapshot_compare, "q_components": components, "q_depths": depths,
     "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_davidson_all": davidson_all, "q_components_all": components_all, "q_depths_all": depths_all,
+    "q_knn_all": knn_all, "q_knn_filtered_all": knn_filtered_all, "q_hamming_pairs_all": hamming_all, "q_hamming_members_all": hamming_members_all,
     "q_scalar_column": scalars, "q_export_names": export_names, "q_manifest": manifest, "q_fingerprints": fingerprints,
 }
 _DIST = f"SELECT e.vec_id, label, 1 - list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY})) AS dist FROM embeddings e"

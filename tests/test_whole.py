@@ -6,6 +6,8 @@ import json
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 from lakeloom.operators import preference as P, ranking as R, schemas
 from lakeloom.plans import analyses, details, rankings
 from lakeloom.sources.lake import from_members
@@ -114,3 +116,27 @@ def test_all_rungs_of_the_cohort_ladder(spark, data, duck):
     want = {r[0]: (r[1], r[2], r[3] and round(r[3], 6)) for r in duck.sql(sql).fetchall()}
     got = {r.id: (r.level, r.cohort_n, r.local and round(r.local, 6)) for r in rankings.cohort_all(spark, data).collect()}
     assert got == want and any((x[0] or 0) > 1 for x in got.values())
+
+
+def test_all_components_and_all_asked_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(130, 64))
+    x[65:] = x[:65]
+    for i in range(65, 130):  # from none to eight signs are turned, in any of the components
+        x[i, rng.choice(64, i % 9, replace=False)] *= -1
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)] + [(140, [0.0] * 64, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d, bits = str(tmp_path), {i: tuple(y > 0 for y in v) for i, v, _ in rows}
+    rep = {i: min(j for j in bits if bits[j] == b) for i, b in bits.items()}
+    apart = {(a, b): sum(p != q for p, q in zip(bits[a], bits[b])) for a, b in itertools.combinations(sorted(set(rep.values())), 2)}
+    got = {(r.a, r.b): r.distance for r in analyses.hamming_all(spark, d).collect()}
+    assert got == {k: n for k, n in apart.items() if n <= 7} and set(got.values()) == set(range(1, 8))
+    assert {r.vec_id: r.rep for r in analyses.hamming_members_all(spark, d).collect()} == rep
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for query, k, among in ((analyses.knn_all, 20, range(130)), (analyses.knn_filtered_all, 10, [i for i in range(130) if i % 4 in (1, 3)])):
+        found = defaultdict(list)
+        for r in sorted(query(spark, d).collect(), key=lambda r: r["rank"]):
+            found[r["query"]].append(round(r.distance, 5))
+        assert set(found) == set(range(0, 130, 20))
+        for q, ds in found.items():
+            assert np.allclose(ds, sorted(1 - u[i] @ u[q] for i in among)[:k], atol=2e-5)
