@@ -127,10 +127,6 @@ def borda_all(spark: SparkSession, d: str) -> DataFrame:
     return P.borda(P.pairs(_all_batches(spark, d))).select("item", F.round("score", 9).alias("score"), "exposures")
 
 
-def davidson_all(spark: SparkSession, d: str) -> DataFrame:
-    return P.davidson(P.pairs(_all_batches(spark, d))).select("item", "component", F.round("score", 4).alias("score"))
-
-
 def pair_expand(spark: SparkSession, d: str) -> DataFrame:
     return P.pairs(_batches(spark, d)).select("batch", "i", "j", "y", F.round("w", 9).alias("w"))
 
@@ -144,7 +140,7 @@ p AS (SELECT x.batch, x.item AS i, y.item AS j, CASE WHEN x.tier < y.tier THEN 1
 
 
 def davidson(spark: SparkSession, d: str) -> DataFrame:
-    return P.davidson(P.pairs(_batches(spark, d))).select("item", "component", F.round("score", 4).alias("score"))
+    return P.davidson(P.pairs(_all_batches(spark, d))).select("item", "component", F.round("score", 4).alias("score"))
 
 
 def rank_ties(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +221,7 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_probed": knn_probed, "q_hamming_pairs": hamming, "q_hamming_members": hamming_members, "q_coverage": coverage, "q_byte_batches": byte_batches,
     "q_pair_expand": pair_expand, "q_borda": borda, "q_davidson": davidson, "q_rank_ties": rank_ties, "q_snapshot_compare": snapshot_compare, "q_components": components, "q_depths": depths,
-    "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_davidson_all": davidson_all, "q_components_all": components_all, "q_depths_all": depths_all,
+    "q_pair_expand_all": pair_expand_all, "q_borda_all": borda_all, "q_components_all": components_all, "q_depths_all": depths_all,
     "q_knn_all": knn_all, "q_knn_filtered_all": knn_filtered_all, "q_hamming_pairs_all": hamming_all, "q_hamming_members_all": hamming_members_all,
     "q_scalar_column": scalars, "q_export_names": export_names, "q_manifest": manifest, "q_fingerprints": fingerprints,
 }

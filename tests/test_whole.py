@@ -34,7 +34,7 @@ def test_all_parts_are_compared(spark, tmp_path):
     for r in rows:
         met[r.i].add(r.y)
         met[r.j].add(1 - r.y)
-    assert {r["item"] for r in analyses.borda_all(spark, d).collect()} == {r["item"] for r in analyses.davidson_all(spark, d).collect()} == set(keys) == met.keys()
+    assert {r["item"] for r in analyses.borda_all(spark, d).collect()} == {r["item"] for r in analyses.davidson(spark, d).collect()} == set(keys) == met.keys()
 
 
 def versions(spark, rows):
