@@ -2,11 +2,17 @@
 
 Only the histogram of lengths (at most capacity + 1 numbers) comes to the driver. There the
 configuration linear program (which combinations of lengths fill a container, and how many
-containers of each) is solved by multiplicative weights: every round prices the lengths by how well
-they're covered so far, a knapsack dynamic program finds the best-priced combination, and it gets a
-share of containers. Rounding takes whole containers down; what is left over is packed length by
-length, the largest with the fullest possible rest (an exact bounded subset-sum). The result is a
-short table of combinations; every item finds its container from its place in the order by length.
+containers of each) is solved by multiplicative weights: every round prices the lengths by how far
+they're covered, a bounded knapsack dynamic program finds the best-priced combination, and it gets as
+many containers as the first of its lengths that is covered by them allows, so that a round ends for
+good with some length. Rounding takes the whole containers of this fractional solution; what they
+leave is a smaller program, solved in the same way with whole containers only, until nothing is left.
+Every container thus comes from the program. The result is a short table of combinations; every item
+finds its container from its place in the order by length.
+
+In a round only one length of each group of neighbouring lengths, the least covered one, is priced:
+lengths that lie close together do for each other, and a length that is left out now is the least
+covered one of its group later. No length is ever left out of the program.
 
 Defined results: a text longer than the capacity is cut into full containers and a rest, which is
 packed like others; null and empty texts have no tokens and lie in container 0 with an empty range;
@@ -15,8 +21,6 @@ texts of equal length are ordered by doc_id; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -24,108 +28,77 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lakeloom.functions.runtime import cut, global_positions, spread
 from lakeloom.llm.tokens import token_count
 
-#: Tokens in a container; rounds, learning rate and share per round of the weights; lengths with
-#: fewer items than LEAST go to the rounding step directly.
-CAPACITY, ROUNDS, RATE, SHARE, LEAST = 2048, 500, 2.0, 0.5, 16
-
-
-def best_priced(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The combination of sizes within capacity of the highest price (knapsack with repetition)."""
-    order = np.argsort(sizes)
-    sizes, prices = sizes[order], prices[order]
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        if k:
-            total = value[c - sizes[:k]] + prices[:k]
-            i = int(total.argmax())
-            if total[i] > value[c - 1]:
-                value[c], choice[c] = total[i], i
-                continue
-        value[c] = value[c - 1]
+#: Tokens in a container; how fast a covered length loses its price, what power of its size the price
+#: begins with (above 1, so that long items are placed while short ones are there to fill up); groups.
+CAPACITY, RATE, TILT, GROUPS = 2048, 0.02, 1.02, 24
+
+
+def best_priced(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The combination of at most so many of each size within capacity that has the highest price: a
+    knapsack over the whole axis of capacities, copies in binary parts."""
+    value, steps = np.zeros(capacity + 1), []
+    for s, p, n in zip(sizes.tolist(), prices.tolist(), most.tolist()):
+        n, k = min(n, capacity // s), 1
+        while n > 0:
+            k = min(k, n)
+            n -= k
+            room = value[k * s :]
+            total = value[: capacity + 1 - k * s] + p * k
+            better = total > room
+            np.copyto(room, total, where=better)
+            steps.append((s, k, better))
+            k *= 2
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        s = int(sizes[choice[c]])
-        out[s] = out.get(s, 0) + 1
-        c -= s
+    for s, k, better in reversed(steps):
+        if c >= k * s and better[c - k * s]:
+            out[s] = out.get(s, 0) + k
+            c -= k * s
     return out
 
 
-def solve_weights(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Fractional containers per combination that cover no length more than once."""
-    sizes = np.array(sorted(s for s, n in histogram.items() if n >= LEAST and 0 < s < capacity), np.int64)
-    if not len(sizes):
-        return []
+def least_covered(covered: np.ndarray, groups: int) -> np.ndarray:
+    """The place of the least covered one of each of so many groups of neighbours."""
+    n = len(covered)
+    if n <= groups:
+        return np.arange(n)
+    group = np.arange(n) * groups // n
+    order = np.lexsort((covered, group))
+    return order[np.r_[True, group[order][1:] != group[order][:-1]]]
+
+
+def solve_weights(histogram: dict[int, int], capacity: int, whole: bool = False) -> list[tuple[dict[int, int], float]]:
+    """Containers per combination that cover every length exactly; whole: only whole containers."""
+    sizes = np.array(sorted(s for s, n in histogram.items() if s > 0 and n > 0), np.int64)
     need = np.array([histogram[int(s)] for s in sizes], float)
-    place = {int(s): i for i, s in enumerate(sizes)}
-    covered, amounts = np.zeros(len(sizes)), {}
-    for _ in range(ROUNDS):
-        config = best_priced(sizes, sizes / capacity * np.exp(-RATE * covered), capacity)
-        if not config:
-            break
-        at = np.array([place[s] for s in config])
+    left, amounts = need.copy(), {}
+    while len(pool := np.flatnonzero(left > 1e-9)):
+        covered = 1 - left[pool] / need[pool]
+        some = least_covered(covered, GROUPS)
+        at = pool[some]
+        config = best_priced(sizes[at], (sizes[at] / capacity) ** TILT * np.exp(-RATE * covered[some]), np.ceil(left[at] - 1e-9).astype(np.int64), capacity)
+        at = np.searchsorted(sizes, list(config))
         used = np.array(list(config.values()), float)
-        share = SHARE * float((need[at] / used).min())
-        covered[at] += share * used / need[at]
+        share = float((left[at] / used).min())
+        share = float(max(1, int(share + 1e-9))) if whole else share
+        left[at] -= share * used
         key = tuple(sorted(config.items()))
         amounts[key] = amounts.get(key, 0.0) + share
-        if covered.min() >= 1:
-            break
-    scale = max(1.0, float(covered.max()))
-    return [(dict(k), x / scale) for k, x in amounts.items()]
-
-
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The items of counts that fill room as far as any choice of them can; large ones preferred."""
-    prefixes, reach = [], 1
-    limit = (1 << (room + 1)) - 1
-    for s in sorted(s for s, n in counts.items() if n > 0 and s <= room):
-        prefixes.append((s, reach))
-        left, step = min(counts[s], room // s), 1
-        while left > 0:  # binary parts of the count
-            take = min(step, left)
-            reach |= (reach << (s * take)) & limit
-            left -= take
-            step *= 2
-    target, out = reach.bit_length() - 1, {}
-    for s, before in reversed(prefixes):
-        k = min(counts[s], target // s)
-        while k > 0 and not before >> (target - k * s) & 1:
-            k -= 1
-        if not before >> (target - k * s) & 1:
-            raise AssertionError("a reachable sum has a choice")
-        if k:
-            out[s] = k
-            target -= k * s
-    return out
+    return [(dict(k), x) for k, x in amounts.items()]
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(items per length, containers) so that all items of the histogram lie in some container."""
-    rest = {s: n for s, n in histogram.items() if s > 0 and n > 0}
-    out: list[tuple[dict[int, int], int]] = []
+    """(items per length, containers) so that each item of the histogram lies in one container."""
+    full = {capacity: histogram[capacity]} if histogram.get(capacity) else {}
+    rest = {s: n for s, n in histogram.items() if 0 < s < capacity and n > 0}
+    out: list[tuple[dict[int, int], int]] = [({s: 1}, n) for s, n in full.items()]
     for config, x in solve_weights(rest, capacity):
-        n = min([int(math.floor(x + 1e-9)), *(rest[s] // k for s, k in config.items())])
-        if n > 0:
+        n = int(x + 1e-9)
+        if n:
             out.append((config, n))
             for s, k in config.items():
                 rest[s] -= n * k
-    while rest := {s: n for s, n in rest.items() if n > 0}:
-        top = max(rest)
-        others = dict(rest)
-        others[top] -= 1
-        config = fullest(others, capacity - top)
-        config[top] = config.get(top, 0) + 1
-        n = min(rest[s] // k for s, k in config.items())
-        out.append((config, n))
-        for s, k in config.items():
-            rest[s] -= n * k
-    return out
+    return out + [(config, round(x)) for config, x in solve_weights(rest, capacity, whole=True)]
 
 
 def slots(histogram: dict[int, int], configs: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -171,8 +171,26 @@ def test_weights_and_rounding():
             assert x >= 0 and sum(s * k for s, k in c.items()) <= 64
     sizes, prices = np.array([3, 5, 7]), np.array([0.3, 0.55, 0.71])
     best = max(sum(p * k for p, k in zip(prices, ks)) for ks in np.ndindex(6, 4, 3) if 3 * ks[0] + 5 * ks[1] + 7 * ks[2] <= 16)
-    assert math.isclose(sum(dict(zip(sizes.tolist(), prices))[s] * k for s, k in packing.best_priced(sizes, prices, 16).items()), best)
-    assert packing.fullest({5: 1, 4: 2, 9: 1}, 8) == {4: 2} and packing.fullest({}, 8) == {} and packing.configurations({}) == []
+    value = lambda config: sum(dict(zip(sizes.tolist(), prices))[s] * k for s, k in config.items())
+    assert math.isclose(value(packing.best_priced(sizes, prices, np.array([9, 9, 9]), 16)), best)
+    few = max(sum(p * k for p, k in zip(prices, ks)) for ks in np.ndindex(2, 3, 2) if 3 * ks[0] + 5 * ks[1] + 7 * ks[2] <= 16)
+    assert math.isclose(value(packing.best_priced(sizes, prices, np.array([1, 2, 1]), 16)), few)
+    assert packing.configurations({}) == [] and packing.configurations({64: 3, 0: 5}, 64) == [({64: 1}, 3)]
+
+
+def test_every_container_comes_from_the_program(monkeypatch):
+    rng = random.Random(4)
+    h = {s: rng.randrange(1, 6) for s in rng.sample(range(1, 1500), 600)} | {s: 40 for s in range(10, 60)}
+    tokens = sum(s * n for s, n in h.items())
+    fractional = packing.solve_weights(h, 2048)
+    cover = Counter()
+    for c, x in fractional:
+        for s, k in c.items():
+            cover[s] += k * x
+    assert all(math.isclose(cover[s], n, rel_tol=1e-6) for s, n in h.items())
+    assert sum(n for _, n in packing.configurations(h)) <= sum(x for _, x in fractional) * 1.01 + 1 <= tokens / 2048 * 1.03 + 2
+    monkeypatch.setattr(packing, "solve_weights", lambda *a, **k: [])
+    assert packing.configurations(h) == []
 
 
 # --- sentences ------------------------------------------------------------------------------------
