@@ -1,10 +1,14 @@
 """Problem 2: how often every distinct term occurs, and in how many records.
 
-Each task encodes the terms of its records as integers of a block dictionary and sums two count
-arrays over them, occurrences and records. The arrays then go, one entry per term and block, to
-the task that owns the term; each such task owns one range of the global dictionary, gives its
-terms their integers in order and sums the arrays of all blocks. A term that is in every record
-therefore costs one entry per block, and no task holds more than a batch and a block.
+A global dictionary is built first (llm.dictionary). Each task then encodes the terms of its records by
+it and adds them up in two count arrays, occurrences and records; the arrays are cut into ranges of
+identifiers, and each range is summed over all tasks. No text is shuffled for counting, and a term that
+is in every record costs one entry per task.
+
+Rows are made distinct by (key, text) before, which splits a key with very many texts over all tasks.
+Keys with several texts are found by comparing hashes; their terms are made distinct by (key, term) to
+count records. Where the dictionary is too large for a copy on every executor, a task's block
+dictionary is joined with it, and everything else stays the same.
 
 Defined results: a record is a key; rows of one key that differ make one record with the terms of
 all of them, equal rows count once; all rows without a key make one record. Null texts have no
@@ -17,121 +21,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeloom.functions.runtime import cut
+from lakeloom.llm import dictionary as D
 
-#: Distinct terms of one block; a parameter of memory only.
-BLOCK_TERMS = 1_000_000
-#: Bits of a term's place within its range of the dictionary.
-RANGE_BITS = 40
-
-
-def encode_block(lists: pa.ListArray, separator: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The block dictionary of records (lists of texts) with its occurrence and record arrays."""
-    texts = lists.flatten()
-    record = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    words = pc.split_pattern(texts, separator)
-    record = np.repeat(record, np.diff(words.offsets.to_numpy()))
-    flat = words.flatten()
-    used = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(used)).dictionary_encode()
-    ids, size = coded.indices.to_numpy(), len(coded.dictionary)
-    occurrences = np.bincount(ids, minlength=size)
-    records = np.bincount(np.unique(record[used] * max(size, 1) + ids) % max(size, 1), minlength=size)
-    return coded.dictionary, occurrences, records
-
-
-class _Block:
-    """The sums of a task so far."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, part: tuple[pa.Array, np.ndarray, np.ndarray]) -> None:
-        self.parts.append(part)
-        self.held += len(part[0])
-        if self.held > 2 * self.most:
-            self.merge()
-
-    def merge(self) -> None:
-        if len(self.parts) > 1:
-            coded = pa.chunked_array([p[0].cast(pa.string()) for p in self.parts]).combine_chunks().dictionary_encode()
-            ids, sums = coded.indices.to_numpy(), []
-            for k in (1, 2):
-                total = np.zeros(len(coded.dictionary), np.int64)
-                np.add.at(total, ids, np.concatenate([p[k] for p in self.parts]))
-                sums.append(total)
-            self.parts = [(coded.dictionary, *sums)]
-        self.held = sum(len(p[0]) for p in self.parts)
-
-
-def _blocks(separator: str, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = _Block(most), 0
+#: Distinct terms of one block where the dictionary has no copies; keys that a join may broadcast.
+BLOCK_TERMS, FEW_KEYS = 1_000_000, 1_000_000
+#: The identifier under which the number of records is summed.
+KNOWN = -1
+
+
+def _presence(ids: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+    """The ids that each row has, once per row."""
+    return np.unique(row * size + ids) % size if len(ids) else ids
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            block.merge()
-            for terms, occurrences, records in block.parts:
-                for at in range(0, len(terms), 50_000):
-                    to = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([terms[to].cast(pa.string()), pa.array(occurrences[to], pa.int64()), pa.array(records[to], pa.int64())], ["term", "occurrences", "records"])
-            block.parts, block.held = [], 0
 
+def _count_arrays(held, size: int, separator: str):
+    """Units (text, occ, rec, known) to count arrays of the task by the executor's dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, occurrences, records, known = D.Encoder(held), np.zeros(size, np.int64), np.zeros(size, np.int64), 0
         for batch in batches:
-            lists = batch.column(0)
-            lists = lists.cast(pa.list_(pa.string()))
-            known += int((np.diff(lists.offsets.to_numpy()) > 0).sum())
-            block.add(encode_block(lists, separator))
-            if block.held > most:
-                yield from flush()
-        yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([known], pa.int64())], ["term", "occurrences", "records"])
+            words, row = D.words_of(batch.column(0), separator)
+            occ, rec = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            known += int(batch.column(3).to_numpy(zero_copy_only=False).sum())
+            ids = encoder.ids(words)
+            occurrences += np.bincount(ids[occ[row]], minlength=size)
+            mine = rec[row]
+            records += np.bincount(_presence(ids[mine], row[mine], max(size, 1)), minlength=size)
+        used = np.flatnonzero(occurrences + records)
+        yield D.ranged(used, occurrences[used], records[used])
+        yield D.ranged(np.array([KNOWN]), np.zeros(1), np.array([known]))
 
     return run
 
 
-def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum sorted block entries by term; the terms of this task get the integers of its range."""
-    first = TaskContext.get().partitionId() << RANGE_BITS
-    last: pa.Table | None = None
-    names = ["term_id", "term", "occurrences", "records"]
+def _block_terms(separator: str, most: int):
+    """Units to (term, first, second) of block dictionaries; the number of records under a null term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        known, names = 0, ["term", "first", "second"]
+
+        def merged() -> pa.Table:
+            t = pa.concat_tables(parts).group_by("term").aggregate([("first", "sum"), ("second", "sum")])
+            return t.select(["term", "first_sum", "second_sum"]).rename_columns(names)
+
+        for batch in batches:
+            words, row = D.words_of(batch.column(0), separator)
+            occ, rec = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            known += int(batch.column(3).to_numpy(zero_copy_only=False).sum())
+            coded = words.dictionary_encode()
+            ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            first = np.bincount(ids[occ[row]], minlength=size)
+            second = np.bincount(_presence(ids[rec[row]], row[rec[row]], max(size, 1)), minlength=size)
+            parts.append(pa.table([coded.dictionary.cast(pa.string()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names))
+            if sum(map(len, parts)) > 2 * most:
+                parts = [merged()]
+                if len(parts[0]) > most:
+                    yield from parts[0].to_batches()
+                    parts = []
+        if parts:
+            yield from merged().to_batches(max_chunksize=50_000)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([known], pa.int64())], names)
+
+    return run
 
-    def sums(t: pa.Table, start: int) -> pa.RecordBatch:
-        coded = t.column("term").combine_chunks().dictionary_encode(null_encoding="encode")
-        ids = coded.indices.to_numpy()
-        totals = []
-        for c in ("occurrences", "records"):
-            total = np.zeros(len(coded.dictionary), np.int64)
-            np.add.at(total, ids, t.column(c).to_numpy())
-            totals.append(pa.array(total))
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(coded.dictionary), dtype=np.int64)), coded.dictionary.cast(pa.string()), *totals], names)
 
+def _to_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if last is not None:
-            rows = pa.concat_tables([last, rows])
-        out = sums(rows, first)
-        if len(out) > 1:  # the last term may go on in the next batch
-            yield out.slice(0, len(out) - 1)
-            first += len(out) - 1
-        if len(out):
-            last = pa.Table.from_batches([out.slice(len(out) - 1)]).drop_columns(["term_id"])
-    if last is not None:
-        yield sums(last, first)
+        ids, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        sums = np.zeros((2, len(ids)), np.int64)
+        for k in (0, 1):
+            np.add.at(sums[k], at, batch.column(k + 1).to_numpy())
+        yield D.ranged(ids, *sums)
+
+
+def _units(rows: DataFrame, separator: str) -> DataFrame:
+    """(text, occ, rec, known) of rows (k, t): each distinct row once for occurrences; for records the row
+    itself if it's the only one of its key, else one row per term of the key."""
+    one, two = F.xxhash64(F.col("t").isNull(), "t"), F.xxhash64(F.lit("second"), F.col("t").isNull(), "t")
+    differ = rows.groupBy("k").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.min(two).alias("c"), F.max(two).alias("d")).where("a <> b OR c <> d")
+    several = cut(differ.select(F.col("k").alias("__k")))
+    few = several.limit(FEW_KEYS + 1).count()
+    texts = rows.distinct()
+    flags = lambda df, occ, rec, known: df.select(F.col("t").alias("text"), *[F.lit(x).alias(n) if isinstance(x, bool) else x.alias(n) for n, x in (("occ", occ), ("rec", rec), ("known", known))])
+    if not few:
+        return flags(texts, True, True, F.col("t").isNotNull())
+    side = F.broadcast(several) if few <= FEW_KEYS else several
+    same = texts["k"].eqNullSafe(side["__k"])
+    single, multi = texts.join(side, same, "left_anti"), texts.join(side, same, "left_semi")
+    terms = multi.select("k", F.explode(F.split("t", separator)).alias("t")).where("t <> ''").distinct()
+    known = multi.where("t IS NOT NULL").select("k").distinct().withColumn("t", F.lit(""))
+    parts = [flags(single, True, True, F.col("t").isNotNull()), flags(multi, True, False, False), flags(terms, False, True, False), flags(known, False, False, True)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def term_counts(rows: DataFrame, key: str, text: str, separator: str = " ") -> DataFrame:
     """(term_id, term, occurrences, records) of every term; of the row whose term is null, records
     is the number of records whose text isn't null. Written once to the checkpoint folder."""
-    records = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).groupBy("k").agg(F.collect_set("t").alias("texts")).select("texts")
-    blocks = records.mapInArrow(_blocks(separator, BLOCK_TERMS), "term string, occurrences long, records long")
-    owned = blocks.repartition(F.col("term")).sortWithinPartitions("term")
-    return cut(owned.mapInArrow(_sum_ranges, "term_id long, term string, occurrences long, records long"))
+    pairs = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    words = D.build(pairs, "t", separator)
+    units = _units(pairs, separator)
+    if words.held is not None:
+        arrays = units.mapInArrow(_count_arrays(words.held, words.size, separator), D.ARRAYS)
+    else:
+        blocks = units.mapInArrow(_block_terms(separator, BLOCK_TERMS), "term string, first long, second long")
+        coded = blocks.where("term IS NOT NULL").join(words.entries, "term").select("id", "first", "second")
+        coded = coded.union(blocks.where("term IS NULL").select(F.lit(KNOWN).cast("long").alias("id"), "first", "second"))
+        arrays = coded.mapInArrow(_to_arrays, D.ARRAYS)
+    sums = cut(D.sum_arrays(arrays))
+    named = sums.join(words.entries, "id", "left")
+    return named.select(F.col("id").alias("term_id"), "term", F.col("first").alias("occurrences"), F.col("second").alias("records"))
 
 
 def marked_terms(rows: DataFrame, key: str, text: str, requested: DataFrame, rare_below: int = 3, common_part: int = 5) -> DataFrame:
@@ -139,8 +141,8 @@ def marked_terms(rows: DataFrame, key: str, text: str, requested: DataFrame, rar
     than 1/common_part of the known ones), null for a useful one; with the requested terms that
     no record has."""
     counts = term_counts(rows, key, text)
-    known = counts.where(F.col("term").isNull()).agg(F.sum("records")).first()[0] or 0  # one number
-    counts = counts.where(F.col("term").isNotNull()).select("term", "occurrences", "records")
+    known = counts.where(F.col("term_id") == KNOWN).agg(F.sum("records")).first()[0] or 0  # one number
+    counts = counts.where(F.col("term_id") != KNOWN).select("term", "occurrences", "records")
     wanted = requested.toDF("term").where("term IS NOT NULL AND term <> '' AND NOT contains(term, ' ')").distinct()
     absent = wanted.join(counts.select("term"), "term", "left_anti").select("term", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"))
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * common_part > F.lit(known), "common")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from oracle import same
 
-from lakeloom.llm import cooccurrence, packing, queries, sentences, terms, tokens
+from lakeloom.llm import cooccurrence, dictionary, packing, queries, sentences, terms, tokens
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -21,7 +21,7 @@ def test_query_runs(spark, data, name):
 
 # --- terms ----------------------------------------------------------------------------------------
 
-ROWS = [(1, "a b  a"), (1, "a b  a"), (2, "a é É"), (3, ""), (4, None), (5, " c\tc "), (None, "a"), (None, "a"), (6, "x" * 100_000), (7, "a　b")]
+ROWS = [(1, "a b  a"), (1, "a b  a"), (2, "a é É"), (3, ""), (4, None), (5, " c\tc "), (None, "a"), (None, "a"), (None, "q a"), (8, "m n"), (8, "n o n"), (8, None), (6, "x" * 100_000), (7, "a　b")]
 
 
 def count_terms(rows):
@@ -37,9 +37,11 @@ def count_terms(rows):
     return {w: (occ[w], rec[w]) for w in occ}, known
 
 
-@pytest.mark.parametrize("block", [2, 1_000_000])
-def test_terms(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, most, few", [(2, 1, 0), (1_000_000, 1, 10), (1_000_000, 500_000, 0), (1_000_000, 500_000, 10)])
+def test_terms(spark, monkeypatch, block, most, few):
     monkeypatch.setattr(terms, "BLOCK_TERMS", block)
+    monkeypatch.setattr(terms, "FEW_KEYS", few)
+    monkeypatch.setattr(dictionary, "MOST_TERMS", most)
     df = spark.createDataFrame([(k, t, "z") for k, t in ROWS], "id long, text string, term string")
     got = terms.term_counts(df, "id", "text").collect()
     want, known = count_terms(ROWS)
@@ -55,8 +57,9 @@ def test_terms(spark, monkeypatch, block):
 # --- pairs ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("segment, expand, held", [(2048, 2_000_000, 3_000_000), (3, 4, 5)])
-def test_pairs_against_all(spark, monkeypatch, segment, expand, held):
+@pytest.mark.parametrize("segment, expand, held, most", [(2048, 2_000_000, 3_000_000, 500_000), (3, 4, 5, 500_000), (3, 4, 5, 1)])
+def test_pairs_against_all(spark, monkeypatch, segment, expand, held, most):
+    monkeypatch.setattr(dictionary, "MOST_TERMS", most)
     monkeypatch.setattr(cooccurrence, "SEGMENT", segment)
     monkeypatch.setattr(cooccurrence, "EXPAND", expand)
     monkeypatch.setattr(cooccurrence, "HELD", held)
