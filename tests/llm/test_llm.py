@@ -244,3 +244,34 @@ def test_spans_cover_everything(spark, data):
     df = spark.createDataFrame([(1, "An owl. A fox.", 5), (1, "An owl. A fox.", 5), (2, None, 5), (None, "x", 5)], "doc_id long, text string, start_char int")
     assert sorted((r.doc_id or 0, r.start_char, r.end_char) for r in sentences.split_sentences(df).collect()) == [(0, 0, 1), (1, 0, 7), (1, 0, 7), (1, 8, 14), (1, 8, 14)]
     assert sentences.split_sentences(df.limit(0)).count() == 0
+
+
+def test_words_around_a_place_decide():
+    cut = lambda t: [t[a:b] for a, b in sentences.sentences(t)]
+    assert cut("She said no. Then we left.") == ["She said no.", "Then we left."]
+    assert cut("They chose plan B. We left it there.") == ["They chose plan B.", "We left it there."]
+    assert cut("It is no. 5 of ten.") == ["It is no. 5 of ten."]
+    assert cut("A sheet by J. A. Elm hung there.") == ["A sheet by J. A. Elm hung there."]
+    assert cut("a b. c " * 5000) and cut("Mr. " * 5000) == [("Mr. " * 5000).strip()]
+
+
+def test_program_is_exact():
+    """The best sum over all ways to cut a block, against trying every one of them."""
+    rng = random.Random(6)
+    parts = ["No. ", "Then ", "we left. ", "art. ", "B. ", "“Go on!” ", "said ", "etc. ", "cm. ", "5. ", "it... ", "so 🎨 ", "Why? ", "x ", "1.5 "]
+    for _ in range(300):
+        s = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 9))).strip()
+        b = sentences._Block(s)
+        units = sentences.letters_before(s)
+
+        def score(cuts):
+            total = 0.0
+            for i, j in zip([0, *cuts], cuts):
+                first, last = s[i:j].lstrip()[0], s[i:j].rstrip()[-1]
+                u = int(units[j] - units[i])
+                total += sentences._opening(first, b.small) + sentences._length_score(u) - (0 < u < 12 and not sentences._closes(last)) + b.evidence[b.at.index(j)]
+            return total
+
+        ways = [[at for k, at in enumerate(b.at[:-1]) if bits >> k & 1] + [b.at[-1]] for bits in range(1 << (len(b.at) - 1))]
+        got = [j for _, j in sentences.block_sentences(s)]
+        assert math.isclose(score(got), max(map(score, ways)), abs_tol=1e-9)
