@@ -274,20 +274,27 @@ def token_bytes(path: str | None = None) -> list[bytes]:
     return out
 
 
+@functools.lru_cache(maxsize=4)
+def _token_sizes(path: str) -> np.ndarray:
+    return np.array([len(b) for b in token_bytes(path)], np.int64)
+
+
 def with_offsets(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, ends): the tokens of each text and the byte offset at which each ends."""
+    """(doc_id, ids, ends): the tokens of each text and the byte offset at which each ends, from the same
+    pass over the text's words."""
     path = path or vocabulary()
+    ints = T.ArrayType(T.IntegerType(), False)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def ends(col: pa.Array) -> pa.Array:
-        size = np.array([len(b) for b in token_bytes(path)], np.int64)
-        flat, offsets = col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets[0].as_py()
-        total = np.r_[0, np.cumsum(size[flat])]
-        begin = np.repeat(total[offsets[:-1]], np.diff(offsets))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((total[1:] - begin).astype(np.int32)))
-
-    coded = documents.select("doc_id", token_ids("text", path).alias("ids"))
-    return coded.select("doc_id", "ids", ends(F.col("ids")).alias("ends"))
+    @F.arrow_udf(T.StructType([T.StructField("ids", ints, False), T.StructField("ends", ints, False)]))
+    def encode(col: pa.Array) -> pa.Array:
+        ids, per_text, _ = encode_texts(col.to_pylist(), path)
+        offsets = np.r_[0, np.cumsum(per_text)]
+        total = np.r_[0, np.cumsum(_token_sizes(path)[ids])]
+        ends = total[1:] - np.repeat(total[offsets[:-1]], per_text)
+        lists = pa.array(offsets.astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(lists, pa.array(ids)), pa.ListArray.from_arrays(lists, pa.array(ends.astype(np.int32)))], ["ids", "ends"])
+
+    return documents.select("doc_id", encode(F.col("text")).alias("t")).select("doc_id", "t.ids", "t.ends")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
