@@ -1,10 +1,11 @@
 """Problem 4: what changed between consecutive full snapshots.
 
-Wide rows are reduced to compact ones first: the position of the snapshot, a 128-bit hash of the
-key and one of the values. A shuffle by key hash makes buckets of bounded size; in each, numpy sorts
-the compact arrays and searchsorted looks for every key in the snapshot before and after its own.
-Full values are read again only for the keys that differ. A bucket holds a key in all its
-snapshots, so that neither a large stream nor a large snapshot is ever in one task.
+Wide rows are reduced to compact ones first: the position of the snapshot, a 128-bit hash of stream and
+key, one of the values, and the key. A shuffle by that hash makes buckets; in each, numpy sorts the
+compact arrays and searchsorted looks for every key in the snapshot before and after its own. A stream's
+key may be in any number of snapshots: a task holds one bucket's rows and, of the key that goes on in
+the next bucket, two rows. Full values are read again only for the keys that differ: a filter of
+bounded size over their hashes drops all other rows before anything is shuffled.
 
 Defined results: of several rows of a key in a snapshot the latest counts (a null time is the
 earliest; of equal times the one with the greater value hash); rows without a key or of an unknown
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeloom.functions.payloads import canonical_json
 from lakeloom.functions.runtime import cut, global_positions
 
-#: Compact rows sorted at once; a parameter of memory only.
-BUCKET_ROWS = 300_000
+#: Compact rows sorted at once, a parameter of memory only; snapshots whose table a join may broadcast;
+#: bits of the filter over the hashes of differing keys.
+BUCKET_ROWS, FEW_SNAPSHOTS, FILTER_BITS = 300_000, 500_000, 1 << 27
 
 
 def hash128(cols: list[Column], prefix: str) -> list[Column]:
@@ -34,25 +36,29 @@ def hash128(cols: list[Column], prefix: str) -> list[Column]:
 
 
 def ordered_snapshots(scans: DataFrame, stream: list[str], scan: str, at: str) -> DataFrame:
-    """(scan, pos, first, last): snapshots numbered so that consecutive ones of a stream have
-    consecutive positions, and whether each is the first or last of its stream."""
+    """(scan, pos, stream, first, last): snapshots numbered so that consecutive ones of a stream have
+    consecutive positions, the stream's number, and whether each is the first or last of it."""
     rows = scans.select(*stream, scan, at).distinct().groupBy(*stream, scan).agg(F.max(at).alias(at))
     order = [F.col(c).asc_nulls_first() for c in (*stream, at, scan)]
     placed = global_positions(rows, order)
     ends = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in stream]).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     joined = placed.join(ends, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in stream])
-    return cut(joined.select(scan, "pos", (F.col("pos") == F.col("first")).alias("first"), (F.col("pos") == F.col("last")).alias("last")))
+    return cut(joined.select(scan, "pos", F.col("first").alias("stream"), (F.col("pos") == F.col("first")).alias("first"), (F.col("pos") == F.col("last")).alias("last")))
 
 
-def compare_bucket(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, position it is reported at, change) for the rows of whole keys, as three arrays."""
+def latest_rows(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, at: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
+    """The rows that count, one of each key and position, sorted by both."""
     order = np.lexsort((v2, v1, at, pos, k2, k1))
-    k1, k2, pos, v1, v2, first, last = (x[order] for x in (k1, k2, pos, v1, v2, first, last))
+    k1, k2, pos = k1[order], k2[order], pos[order]
+    return order[np.r_[(k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (pos[1:] != pos[:-1]), True]] if len(order) else order
+
+
+def compare_bucket(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, position it is reported at, change) as three arrays, for rows sorted by key and position,
+    one of each."""
     new_key = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
     key = np.cumsum(new_key) - 1
     code = key * (int(pos.max(initial=0)) + 3) + pos + 1
-    latest = np.flatnonzero(np.r_[code[1:] != code[:-1], True])
-    code, v1, v2, first, last, pos, order = (x[latest] for x in (code, v1, v2, first, last, pos, order))
 
     def found(at_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.minimum(np.searchsorted(code, at_code), len(code) - 1)
@@ -65,35 +71,42 @@ def compare_bucket(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, first: np.nd
     changed = np.flatnonzero(had & ~first & ((v1 != v1[before]) | (v2 != v2[before])))
     rows = np.r_[added, removed, changed]
     kinds = np.repeat(np.array(["added", "removed", "changed"], object), [len(added), len(removed), len(changed)])
-    return order[rows], pos[rows] + (kinds == "removed"), kinds
+    return rows, pos[rows] + (kinds == "removed"), kinds
 
 
 def _buckets(most: int):
+    """Compact rows sorted by key and position to (k1, k2, key, pos, change).
+
+    What is held from one bucket to the next is the last row, which may be replaced or stay alone
+    still, and the row before it if that's of the same key; that one has been reported already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-        names = ["k1", "k2", "seen", "pos", "change"]
+        rows, known = 0, 0  # known: whether the first held row has been reported
+        names = ["k1", "k2", "key", "pos", "change"]
 
-        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def bucket(t: pa.Table, known: int, final: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch], int]:
             k1, k2, pos, at, v1, v2 = (t.column(c).to_numpy() for c in ("k1", "k2", "pos", "at", "v1", "v2"))
+            t = t.take(pa.array(latest_rows(k1, k2, pos, at, v1, v2)))
+            k1, k2, pos, v1, v2 = (t.column(c).to_numpy() for c in ("k1", "k2", "pos", "v1", "v2"))
             first, last = (t.column(c).to_numpy().astype(bool) for c in ("first", "last"))
-            row, pos_at, kind = compare_bucket(k1, k2, pos, first, last, at, v1, v2)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(pos[row]), pa.array(pos_at), pa.array(kind, pa.string())], names)
+            row, place, kind = compare_bucket(k1, k2, pos, first, last, v1, v2)
+            mine = (row >= known) & ((row < len(t) - 1) | final)
+            row, place, kind = row[mine], place[mine], kind[mine]
+            keys = t.column("key").take(pa.array(row)).combine_chunks()
+            out = pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys, pa.array(place), pa.array(kind, pa.string())], names)
+            before = len(t) > 1 and k1[-1] == k1[-2] and k2[-1] == k2[-2]
+            return out, t.slice(len(t) - 1 - before).combine_chunks().to_batches(), int(before)
 
         for batch in batches:
             held.append(batch)
             rows += len(batch)
             if rows >= most:
-                t = pa.Table.from_batches(held)
-                k1 = t.column("k1").to_numpy()
-                whole = int(np.searchsorted(k1, k1[-1]))  # the last key may go on in the next batch
-                if whole:
-                    yield from compare(t.slice(0, whole))
-                held = t.slice(whole).combine_chunks().to_batches()
-                rows = len(t) - whole
+                out, held, known = bucket(pa.Table.from_batches(held), known, False)
+                rows = sum(map(len, held))
+                yield out
         if rows:
-            yield from compare(pa.Table.from_batches(held))
+            yield bucket(pa.Table.from_batches(held), known, True)[0]
 
     return run
 
@@ -117,20 +130,47 @@ def snapshot_changes(
     retrieve: columns whose full values come along, of the later snapshot (removed: the earlier).
     """
     snapshots = ordered_snapshots(scans, stream, scan, scan_at)
+    few = snapshots.limit(FEW_SNAPSHOTS + 1).count() <= FEW_SNAPSHOTS
+    small = lambda df: F.broadcast(df) if few else df
     keyed = rows.where(F.col(key).isNotNull() & F.col(scan).isNotNull())
     texts = [F.col(v) for v in values] + [canonical_json(j, skip) for j, skip in json_values.items()]
     at = F.coalesce(F.unix_micros(row_at), F.lit(-(2**63)))
     plain = keyed.select(scan, key, row_at, *[t.alias(f"t{i}") for i, t in enumerate(texts)])
-    compact = plain.select(scan, *hash128([F.col(key)], "k"), at.alias("at"), *hash128([F.col(f"t{i}") for i in range(len(texts))], "v"))
-    placed = compact.join(snapshots, scan).select("k1", "k2", "pos", "first", "last", "at", "v1", "v2")
+    compact = plain.select(scan, F.col(key).alias("key"), at.alias("at"), *hash128([F.col(f"t{i}") for i in range(len(texts))], "v"))
+    placed = compact.join(small(snapshots), scan).select(*hash128([F.col("stream"), F.col("key")], "k"), "key", "pos", "first", "last", "at", "v1", "v2")
     latest = placed.mapInArrow(_latest_in_batch, placed.schema)
-    changes = latest.repartition(F.col("k1")).sortWithinPartitions("k1").mapInArrow(_buckets(BUCKET_ROWS), "k1 long, k2 long, seen long, pos long, change string")
-    position = lambda name, pos: snapshots.select(F.col(scan).alias(name), F.col("pos").alias(pos))
+    kind = placed.schema["key"].dataType.simpleString()
+    changes = latest.repartition(F.col("k1"), F.col("k2")).sortWithinPartitions("k1", "k2", "pos").mapInArrow(_buckets(BUCKET_ROWS), f"k1 long, k2 long, key {kind}, pos long, change string")
+    changes = cut(changes) if retrieve else changes
+    position = lambda name, pos: small(snapshots.select(F.col(scan).alias(name), F.col("pos").alias(pos)))
     named = changes.withColumn("prev", F.col("pos") - 1).join(position("to_scan", "pos"), "pos").join(position("from_scan", "prev"), "prev")
+    told = [F.col("from_scan").alias(f"prev_{scan}"), F.col("to_scan").alias(scan), F.col("key").alias(key), F.col("change")]
+    if not retrieve:
+        return named.select(*told)
     named = named.withColumn("of_scan", F.when(F.col("change") == "removed", F.col("from_scan")).otherwise(F.col("to_scan")))
-    full = keyed.select(F.col(scan).alias("of_scan"), *hash128([F.col(key)], "k"), F.struct(at.alias("__at"), F.col(key).alias("__key"), *[F.col(c) for c in retrieve]).alias("full"))
-    found = named.join(full, ["of_scan", "k1", "k2"]).groupBy("from_scan", "to_scan", "k1", "k2", "change").agg(F.max_by("full", "full.__at").alias("full"))
-    return found.select(F.col("from_scan").alias(f"prev_{scan}"), F.col("to_scan").alias(scan), F.col("full.__key").alias(key), "change", *[F.col(f"full.{c}").alias(c) for c in retrieve])
+    asked = named.select("of_scan", "key")
+    some = keyed.where(hash_filter(asked, ["of_scan", "key"])(F.xxhash64(F.col(scan), F.col(key))))
+    full = some.select(F.col(scan).alias("of_scan"), F.col(key).alias("key"), at.alias("__at"), F.struct(*[F.col(c) for c in retrieve]).alias("full"))
+    found = named.join(full, ["of_scan", "key"]).groupBy("from_scan", "to_scan", "key", "change").agg(F.max_by("full", "__at").alias("full"))
+    return found.select(*told, *[F.col(f"full.{c}").alias(c) for c in retrieve])
+
+
+def hash_filter(keys: DataFrame, columns: list[str]):
+    """A function of the hash of columns that is true for all rows of keys and for few others: a field of
+    FILTER_BITS bits, built by an aggregate of words and sent to every executor (16 MB)."""
+    place = f"pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), {FILTER_BITS})"
+    words = keys.select(F.expr(f"CAST({place} div 64 AS int)").alias("w"), F.expr(f"shiftleft(1L, CAST({place} % 64 AS int))").alias("b"))
+    own = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most FILTER_BITS / 64 rows
+    field = np.zeros(FILTER_BITS // 64, np.int64)
+    field[own.column("w").to_numpy()] = own.column("b").to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(field)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_hold(hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy() % FILTER_BITS
+        return pa.array((sent.value[at // 64] >> (at % 64) & 1).astype(bool))
+
+    return may_hold
 
 
 def _pins(spark: SparkSession, d: str, retrieve: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, [], []) == []
 
 
-@pytest.mark.parametrize("rows_at_once", [7, 300_000])
+@pytest.mark.parametrize("rows_at_once", [1, 7, 300_000])
 def test_random_against_sets(spark, tmp_path, monkeypatch, rows_at_once):
     monkeypatch.setattr(snapshots, "BUCKET_ROWS", rows_at_once)
     rng = random.Random(3)
@@ -65,6 +65,23 @@ def test_random_against_sets(spark, tmp_path, monkeypatch, rows_at_once):
     assert run(spark, tmp_path, scans, pins) == sorted(want)
 
 
+def test_a_key_in_every_snapshot(spark, tmp_path, monkeypatch):
+    """A pin of one stream that is in all its scans goes through many buckets; streams don't mix."""
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 5)
+    scans = [(f"{e}{k:03d}", "x", e, "exhausted", ts(k)) for e in "ab" for k in range(200)]
+    pins = [pin(sc[0], "p", "t" if int(sc[0][1:]) % 7 else "u", at=n) for sc in scans for n in range(3) if int(sc[0][1:]) % 50 != 9]
+    want = []
+    for e in "ab":
+        for k in range(1, 200):
+            a, b = (None if n % 50 == 9 else bool(n % 7) for n in (k - 1, k))
+            if a != b:
+                want.append((f"{e}{k - 1:03d}", f"{e}{k:03d}", "p", "added" if a is None else "removed" if b is None else "changed"))
+    assert run(spark, tmp_path, scans, pins) == sorted(want)
+    full = snapshots.p4_values(spark, str(tmp_path))
+    assert sorted((r.prev_scan_id, r.scan_id, r.pin_id, r.change) for r in full.collect()) == sorted(want)
+    assert {r.title for r in full.where("change <> 'removed' AND scan_id LIKE '%014'").collect()} == {"u"}
+
+
 def test_canonical_text():
     same = ['{"a":1,"b":[1,2]}', ' {"b":[1.0,2],"a":1.0,"c":null}', '{"\\u0061":1,"b":[1,2.0]}']
     assert len({canonical_text(x) for x in same}) == 1
