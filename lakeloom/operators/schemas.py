@@ -1,12 +1,13 @@
 """Problem 3: schemas that drift between files, matched by similarity flooding.
 
-Every version of a lineage is a tree of fields. For each two consecutive versions the pairs of
-fields on the same level that share any evidence (name, field id, alias, normalised name) form a
-pairwise connectivity graph, joined by the edges of both trees: parent to child, list to element,
-field to type. Initial scores come from the evidence and are propagated over the graph until they
-converge; then, level by level below the pairs already selected, the strongest kind of evidence
-takes its pairs in order of their scores, each field once. Selected pairs are compared for changes
-of type, what is left was removed or added.
+Every version of a lineage is a tree of fields. For each two consecutive versions all pairs of fields
+on the same level form a pairwise connectivity graph, joined by the edges of both trees: parent to
+child, list to element, field to type. Initial scores come from the evidence (name, field id, alias,
+normalised name; without any, a little for the same type) and are propagated over the graph until they
+converge. A pair's score is its evidence and what reaches it from its surroundings, which can't outweigh
+a stronger kind of evidence, as the order of kinds is given; level by level below the pairs already
+selected, pairs with some evidence are taken in the order of their scores, each field once. Selected
+pairs are compared for changes of type, what is left was removed or added.
 
 A lineage's versions are one group (tens of schemas, thousands of fields: bounded by what people
 write, not by the data). Data is only touched by aggregations: the first use of each version, and
@@ -27,16 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakeloom.functions.payloads import body_text, inflate_checked, is_readable
+from lakeloom.functions.runtime import cut
 from lakeloom.functions.skeletons import parse
 
 #: Kinds of evidence in the order in which they're tried, with the similarity they start from.
 EVIDENCE = ("name", "id", "alias", "normal")
 START = {"name": 1.0, "id": 0.8, "alias": 0.6, "normal": 0.4}
-#: Propagation ends when no score moves by more than EPSILON, or after ROUNDS.
-EPSILON, ROUNDS = 1e-4, 200
+#: Start of pairs without evidence but of one type, and the share of a score that propagation makes up:
+#: less than the distance between two kinds of evidence.
+ALIKE, SHARE = 0.05, 0.19
+#: Propagation ends when no score moves by more than EPSILON; after ROUNDS it's taken as faulty.
+EPSILON, ROUNDS = 1e-4, 10_000
 
 
 # --- trees: {"name", "id", "aliases", "type", "fields" | "element"} -------------------------------
@@ -127,11 +132,13 @@ class Flooding:
         return self.node[key]
 
     def _level(self, up: int, old: list[dict], new: list[dict], key: tuple) -> None:
-        for i, j, kind in candidates(old, new, self.kinds):
-            pair = (*key, i, j)
-            n = self._add(pair, START[kind])
-            self.edges.append((up, n, "child"))
-            self._typed(n, old[i], new[j], pair)
+        evident = {(i, j): START[kind] for i, j, kind in candidates(old, new, self.kinds)}
+        for i, a in enumerate(old):
+            for j, b in enumerate(new):
+                start = evident.get((i, j))
+                n = self._add((*key, i, j), start if start is not None else ALIKE if a["type"] == b["type"] else 0.0)
+                self.edges.append((up, n, "child"))
+                self._typed(n, a, b, (*key, i, j))
 
     def _typed(self, n: int, a: dict, b: dict, key: tuple) -> None:
         names = (a["type"], b["type"])
@@ -162,17 +169,17 @@ class Flooding:
             if np.abs(after - s).max() < EPSILON:
                 return after
             s = after
-        return s
+        raise RuntimeError("the scores didn't settle")
 
     def select(self, old: list[dict], new: list[dict], key: tuple) -> list[tuple[int, int, str]]:
-        """One-to-one pairs of this level: by kind of evidence, then score, then order."""
-        ranked = sorted((self.kinds.index(kind), -self.scores[self.node[(*key, i, j)]], i, j) for i, j, kind in candidates(old, new, self.kinds))
+        """One-to-one pairs of this level with some evidence, in the order of their scores, then of fields."""
+        ranked = sorted((-(START[kind] + SHARE * self.scores[self.node[(*key, i, j)]]), i, j, kind) for i, j, kind in candidates(old, new, self.kinds))
         left, right, chosen = set(), set(), []
-        for k, _, i, j in ranked:
+        for _, i, j, kind in ranked:
             if i not in left and j not in right:
                 left.add(i)
                 right.add(j)
-                chosen.append((i, j, self.kinds[k]))
+                chosen.append((i, j, kind))
         return sorted(chosen)
 
 
@@ -285,6 +292,41 @@ def capture_versions(captures: DataFrame) -> DataFrame:
     return trees.select(F.concat(F.lit("captures:"), F.col("endpoint")).alias("lineage"), "version", number.alias("rank"), F.lit("name,normal").alias("kinds"), "tree")
 
 
+def nested_levels(tree: list[dict], path: str = "", top: bool = True) -> Iterator[list[str]]:
+    """The paths of the fields of every struct below the top level, struct by struct."""
+    if not top:
+        yield [path + f["name"] for f in tree]
+    for f in tree:
+        here, node = path + f["name"], f
+        while node["type"] == "list":
+            here, node = here + "[]", node["element"]
+        if node["type"] == "struct":
+            yield from nested_levels(node["fields"], here + ".", False)
+
+
+def renamed_text(text: str | None, names: dict[str, str]) -> str | None:
+    """A JSON object with the keys below its top level renamed by path; text that is no object stays."""
+    v = parse(text)
+    if not isinstance(v, dict):
+        return text
+
+    def walk(x: object, path: str) -> object:
+        if isinstance(x, list):
+            return [walk(y, path + "[]") for y in x]
+        if isinstance(x, dict):
+            return {names.get(f"{path}.{k}", k) if path else k: walk(y, f"{path}.{k}" if path else k) for k, y in x.items()}
+        return x
+
+    return json.dumps(walk(v, ""), ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _with_names(text: pd.Series, names: pd.Series) -> pd.Series:
+    """renamed_text by a JSON object of paths; without one the text as it is."""
+    maps = {n: json.loads(n) for n in names.dropna().unique()}
+    return pd.Series([t if n is None or t is None else renamed_text(t, maps[n]) for t, n in zip(text, names)], dtype=object)
+
+
 def _per_lineage(kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "version"], kind="stable")
@@ -295,9 +337,10 @@ def _per_lineage(kind: str):
             for k in range(1, len(trees)):
                 out += [(lineage, versions[k - 1], versions[k], c, x, y) for c, x, y in compare(trees[k - 1], trees[k], kinds)[0]]
             return pd.DataFrame(out, columns=["lineage", "from_version", "to_version", "change", "field_from", "field_to"])
-        # names: what each version calls the top-level fields of the consistent table, which are named
-        # as in the last version that has them
+        # names: what each version calls the fields of the consistent table, which are named as in the last
+        # version that has them; below the top level (step -1) only names that differ
         latest: dict[str, str] = {}
+        below: dict[str, str] = {}
         for k in range(len(trees) - 1, -1, -1):
             after = dict(compare(trees[k], trees[k + 1], kinds)[1]) if k + 1 < len(trees) else {}
             now: dict[str, str] = {}
@@ -308,6 +351,17 @@ def _per_lineage(kind: str):
                 now[f["name"]] = column
             out += [(lineage, versions[k], k, name, column, next(f["type"] for f in trees[k] if f["name"] == name)) for name, column in now.items()]
             latest = now
+            names: dict[str, str] = {}
+            for level in nested_levels(trees[k]):
+                taken: set[str] = set()
+                for path in sorted(level, key=lambda x: after.get(x) not in below):  # matched fields first
+                    name = below.get(after.get(path, ""), re.split(r"\.|\[\]", path)[-1])
+                    while name in taken:
+                        name += "_"
+                    taken.add(name)
+                    names[path] = name
+            out += [(lineage, versions[k], -1, path, name, "") for path, name in names.items() if re.split(r"\.|\[\]", path)[-1] != name]
+            below = names
         return pd.DataFrame(out, columns=["lineage", "version", "step", "field", "column", "type"])
 
     return run
@@ -320,7 +374,8 @@ def schema_changes(versions: DataFrame) -> DataFrame:
 
 def consistent_names(versions: DataFrame) -> DataFrame:
     """(lineage, version, step, field, column, type): the column of the consistent table that holds
-    each top-level field of each version."""
+    each top-level field of each version, and with step -1 the consistent name of each field below, by its
+    path, where it differs from the field's own."""
     return versions.groupBy("lineage").applyInPandas(_per_lineage("names"), "lineage string, version string, step int, field string, column string, type string")
 
 
@@ -342,24 +397,27 @@ def unified(records: DataFrame, versions: DataFrame, version: str, text: str, ke
     """All records in one table: keep, lineage, one column per consistent field of any lineage, and rest.
 
     A column has the type that all versions of all lineages agree on, else text; nested values are JSON
-    text. rest is a JSON object, null if empty, of what no column holds: values that a column's type
+    text, in which fields have the names of the last version too. rest is a JSON object, null if empty, of what no column holds: values that a column's type
     can't hold as they are, fields that the record's version doesn't name (for an unknown version all of
     them), and under '$' a text that isn't a JSON object. The schemas (a bounded set) are collected to
     name the columns; each record finds its names by a join on its version, and, where lineage names a
     column of the records that isn't null, on that too (versions of captures have the same names in
     many lineages). A set of types without any value has no say."""
-    names = consistent_names(versions)
+    every = cut(consistent_names(versions))  # a row per field of each version
+    names, deeper = every.where("step >= 0"), every.where("step < 0")
     plan = names.groupBy("column").agg(F.collect_set(F.when(F.col("type") != "{}", F.col("type"))).alias("types")).collect()
     own = names.groupBy(F.col("version").alias("__v"), "lineage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "field")))).alias("__names"))
+    nested = deeper.groupBy(F.col("version").alias("__v"), "lineage").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "column"))))).alias("__nested"))
+    own = own.join(nested, ["__v", "lineage"], "left")
     same = records[version] == own["__v"]
     if lineage is not None:
         captured = F.when(own["lineage"].startswith("captures:"), own["lineage"])
         same = same & (F.coalesce(records[lineage], F.lit("")) == F.coalesce(captured, F.lit("")))
     rows = records.join(own, same, "left").drop(*([records[lineage]] if lineage is not None else []))
-    spark = records.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    parsed = F.expr(f"try_variant_get(try_parse_json(`{text}`), '$', 'map<string,variant>')").alias("__m")
-    rows = rows.select(*keep, "lineage", "__names", parsed, F.col(text).alias("__text"))
+    # a text with repeated keys is no variant; written again it has the last one of them
+    again = F.coalesce(F.col("__nested"), F.expr(f"IF(`{text}` IS NOT NULL AND try_parse_json(`{text}`) IS NULL, '{{}}', NULL)"))
+    rows = rows.select(*keep, "lineage", "__names", F.col(text).alias("__text"), _with_names(F.col(text), again).alias("__named"))
+    rows = rows.select(*keep, "lineage", "__names", F.expr("try_variant_get(try_parse_json(__named), '$', 'map<string,variant>')").alias("__m"), "__text")
     cols, unfit = [], []
     for name, types in sorted((r[0], set(r[1])) for r in plan):
         kinds = {_SQL_TYPES.get(t, "string") for t in types}
@@ -379,12 +437,12 @@ def unified(records: DataFrame, versions: DataFrame, version: str, text: str, ke
     return rows.select(*keep, "lineage", *cols, F.when(F.col("__text").isNotNull(), F.expr(rest)).alias("rest"))
 
 
-def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+def p3_exports(spark: SparkSession, d: str) -> DataFrame:
     records = spark.read.parquet(f"{d}/raw_metadata.parquet").distinct()
     return unified(records, _versions(spark, d), "source_schema_id", "source_metadata_json", ["raw_row", "observation_id", "source_schema_id"])
 
 
-def p3_unified_all(spark: SparkSession, d: str) -> DataFrame:
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     """The exports' records and the captures' payloads in one table; record_id is the raw_row or the
     capture_id, element the payload's position in its capture."""
     captures = spark.read.parquet(f"{d}/captures.parquet")

@@ -6,11 +6,11 @@ from lakeloom.operators import nested, schemas, snapshots
 
 QUERIES = {
     "p1_found": nested.p1_found,
-    "p1_comments": lambda spark, d: nested.all_children(spark, d, only="comments").selectExpr("source_field", "record_id", "node_path", "parent_path", "values['id'] AS comment_id", "values['text'] AS text"),
+    **{f"p1_{name}": lambda spark, d, name=name: nested.tables(spark, d, [name])[name] for name in nested.TABLES},
+    "p1_linked": nested.p1_linked,
     "p3_found": schemas.p3_found,
     "p3_unified": schemas.p3_unified,
-    "p3_unified_all": schemas.p3_unified_all,
     "p4_found": snapshots.p4_found,
     "p4_values": snapshots.p4_values,
-}
+}
 SQL: dict[str, str] = {}

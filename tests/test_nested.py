@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from lakeloom.functions import skeletons
 from lakeloom.operators import nested
 
 
@@ -56,6 +57,20 @@ def test_children_of_texts(spark, values):
     assert got == want
 
 
+def test_deep_texts_by_the_same_rules(spark, monkeypatch):
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "id string, body string")
+    monkeypatch.setattr(skeletons, "DEEP", 1)
+    for values in (False, True):
+        out = skeletons._Columns(values, nested.COLLECTION_FIELDS)
+        for t in TEXTS:
+            out.add(skeletons.parse(t))
+        assert len(out.deep) > 100
+        walked = sorted((str(i), *out.deep[k][:3:2]) for i, (a, b) in enumerate(zip(out.deep_rows, out.deep_rows[1:])) for k in range(a, b))
+        want = sorted((str(i), *n) for i, t in enumerate(TEXTS) if "NaN" not in t for n in brute(t))
+        assert walked == [w for w in want if w[0] in {x[0] for x in walked}]
+    assert nested.flatten_records(rows, ["id"], "body").count() == sum(len(brute(t)) for t in TEXTS if "NaN" not in t)
+
+
 def test_values_and_one_collection(spark):
     rows = spark.createDataFrame([("r", '{"pages":[{"w":1,"t":"x","u":null,"crops":[{"b":true}]}],"notes":{"n":1.5}}')], "id string, body string")
     got = {(r.node_path, r.field): r["values"] for r in nested.flatten_records(rows, ["id"], "body").collect()}
@@ -90,3 +105,33 @@ def test_given_data(spark, data):
     best = nested.best_items(rows).collect()
     got = sorted((r.record_id, r.node_path, r.parent_path) for r in nested.flatten_records(nested.best_items(rows), ["record_id"], "record_json").collect())
     assert got == sorted((r.record_id, *n) for r in best if r.record_json for n in brute(r.record_json))
+
+
+def test_depth_has_no_limit(spark):
+    deep = '{"children":[' * 3000 + "{}" + "]}" * 3000
+    lists = "[" * 4000 + '{"x":{}}' + "]" * 4000
+    rows = spark.createDataFrame([("d", deep), ("l", lists), ("bad", "[" * 20_000), ("more", "[" * 20_000 + "]" * 20_001)], "id string, body string")
+    got = nested.flatten_records(rows, ["id"], "body", values=False).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {"d": 3000, "l": 1}
+
+
+def test_parser_with_its_own_stack():
+    for t in [*TEXTS, '{"a":1,}', "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", '{"a":"\\u00e9\\ud83d\\ude00","a":-1.5e3}', '["a\nb"]', "01", "-", " [true , false,null ] ", '"x"', "[]]", "{}{}"]:
+        if "NaN" in t or t.startswith("﻿"):
+            continue
+        try:
+            want = json.loads(t)
+        except ValueError:
+            with pytest.raises(ValueError):
+                skeletons.parse_deep(t)
+            continue
+        assert skeletons.parse_deep(t) == want
+
+
+def test_flat_tables_of_one_walk(spark):
+    rows = spark.createDataFrame([("r", '{"pages":[{"id":1,"width":5,"comments":{"id":"c","text":"x","terms":[{"id":7},{"id":8}]}}],"terms":[{"name":"n"}]}'), (None, "[{}]"), ("n", None)], "id string, body string")
+    coded = rows.select("id", skeletons.skeletons_of_texts(True)("body").alias("skeleton"))
+    t = nested.flat_tables(coded, ["id"], "skeleton", {k: nested.TABLES[k] for k in ("pages", "comments", "terms")})
+    assert [tuple(r) for r in t["pages"].collect()] == [("r", "$.pages[0]", "$", "1", "5", None, None)]
+    assert [tuple(r) for r in t["comments"].collect()] == [("r", "$.pages[0].comments[0]", "$.pages[0]", "c", "x")]
+    assert sorted(r.parent_path for r in t["terms"].collect()) == ["$", "$.pages[0].comments[0]", "$.pages[0].comments[0]"]

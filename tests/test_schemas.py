@@ -64,7 +64,28 @@ def test_empty_and_unreadable(spark):
 
 
 def test_unified_keeps_every_record(spark, data):
-    df = schemas.p3_unified(spark, data)
+    df = schemas.p3_exports(spark, data)
     raw = spark.read.parquet(f"{data}/raw_metadata.parquet").distinct()
     assert df.count() == raw.count()
     assert df.where("lineage IS NOT NULL AND f_id IS NOT NULL").count() > 0
+
+
+def test_scores_decide_among_equal_evidence(monkeypatch):
+    """Two fields share an id with the old one; what lies below them tells which it was."""
+    old = [field("a", pa.struct([field("w", pa.int32()), field("h", pa.int32())]), field_id="1")]
+    new = [field("x", pa.struct([field("q", pa.string())]), field_id="1"), field("y", pa.struct([field("w", pa.int32()), field("h", pa.int32())]), field_id="1")]
+    assert ("renamed", "a", "y") in changes(old, new)
+    monkeypatch.setattr(schemas, "SHARE", 0.0)
+    assert ("renamed", "a", "x") in changes(old, new)
+
+
+def test_unified_names_below_the_top_level(spark):
+    import json
+
+    struct = lambda *names: [{"name": "s", "id": None, "aliases": [], "type": "struct", "fields": [{"name": n, "id": str(k), "aliases": [], "type": "int64"} for k, n in enumerate(names)]}]
+    listed = [{"name": "s", "id": None, "aliases": [], "type": "list", "element": struct("a", "b")[0]}, {"name": "l", "id": None, "aliases": [], "type": "list", "element": {"name": "", "id": None, "aliases": [], "type": "struct", "fields": struct("a", "b")}}]
+    latest = [listed[0], {**listed[1], "element": {**listed[1]["element"], "fields": struct("a", "Bb")}}]
+    v = spark.createDataFrame([("x", "1", 1, "name,id", json.dumps(struct("u", "w"))), ("x", "2", 2, "name,id", json.dumps(struct("u2", "w"))), ("x", "3", 3, "name,id", json.dumps(struct("z", "u3"))), ("y", "8", 1, "name,id", json.dumps(listed)), ("y", "9", 2, "name,id", json.dumps(latest))], "lineage string, version string, rank long, kinds string, tree string")
+    df = spark.createDataFrame([("1", '{"s":{"u":1,"w":2}}'), ("2", '{"s":{"u2":1,"w":2,"u":5}}'), ("3", '{"s":{"z":1}}'), ("8", '{"l":[{"s":{"b":1}},{"b":2}],"l":[{"s":{"b":3}}]}'), ("9", '{"l":[]}')], "version string, text string")
+    got = {r.version: json.loads(r.f_s or r.f_l) for r in schemas.unified(df, v, "version", "text", ["version"]).collect()}
+    assert got == {"1": {"z": 1, "u3": 2}, "2": {"z": 1, "u3": 2, "u": 5}, "3": {"z": 1}, "8": [{"s": {"Bb": 3}}], "9": []}

@@ -66,11 +66,11 @@ def test_unified_holds_exports_and_captures(spark, data, duck):
         if len(raw) == size and hashlib.sha256(raw).hexdigest() == digest and isinstance(v, dict):
             p = v["body"] if v.get("body") is not None else (v.get("resource_response") or {}).get("data")
             want |= {(cid, k, f"captures:{endpoint}", version, len([y for y in x.values() if y is not None])) for k, x in enumerate(p if isinstance(p, list) else [p]) if isinstance(x, dict)}
-    df = schemas.p3_unified_all(spark, data).cache()
+    df = schemas.p3_unified(spark, data).cache()
     fields = [c for c in df.columns if c.startswith("f_")]
     got = [(r.record_id, r.element, r.lineage, r.version, sum(r[c] is not None for c in fields) + len(json.loads(r.rest or "{}"))) for r in df.where("lineage LIKE 'captures:%'").collect()]
     assert set(got) == want and len(got) == len(want) > 0
-    assert df.where("element IS NULL").count() == schemas.p3_unified(spark, data).count()
+    assert df.where("element IS NULL").count() == schemas.p3_exports(spark, data).count()
 
 
 def test_history_of_every_asset(spark, data):
