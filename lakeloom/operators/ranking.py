@@ -1,15 +1,16 @@
 """Population ranking over a frozen input: heat, percentiles, calendar cohorts, scores, routes.
 
 No step gathers a rating, a bucket or a window in one task: ranks come from counted values (see
-functions.stats), and a row's place within its own calendar window from a dyadic tree over time.
+functions.stats), and a row's place within its own calendar window from functions.windows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lakeloom.functions import windows
 from lakeloom.functions.runtime import cut
-from lakeloom.functions.stats import bucket, clamp, midranks, running_totals, shrunk
+from lakeloom.functions.stats import bucket, clamp, midranks, shrunk
 from lakeloom.plans.paging import positions
 
 DAY = 86_400_000_000
@@ -66,34 +67,8 @@ def _cover(lo: str, hi: str, levels: int) -> Column:
 
 def window_ranks(rows: DataFrame, group: list[str], t: str, lo: str, hi: str, value: str) -> DataFrame:
     """rows with n, less and equal: how many rows of the group lie at times lo..hi (inclusive), and
-    how many of them have a smaller or the same value. Times are whole numbers in the unit in
-    which windows are told apart; rows with a null value or time aren't counted and get nulls.
-
-    Counted points are put into the nodes of a binary tree over time, every window is cut into at
-    most two nodes a level, and within nodes ranks are running sums over all tasks: the work grows
-    with rows times levels, whatever the sizes of groups and windows."""
-    known = rows.where(F.col(value).isNotNull() & F.col(t).isNotNull())
-    ends = known.agg(F.min(t), F.max(t)).first()  # two numbers
-    if ends[0] is None:
-        return rows.withColumns({c: F.lit(None).cast("long") for c in ("n", "less", "equal")})
-    base, levels = ends[0], max(1, (ends[1] - ends[0]).bit_length() + 1)
-    place = lambda c: f"CAST(greatest(-1, least({ends[1] - base + 1}, {c} - {base})) AS bigint)"
-    points = known.groupBy(*group, F.col(t).alias("t"), F.col(value).alias("v")).agg(F.count("*").alias("w"))
-    points = points.select(*group, F.explode(_nodes(place("t"), levels)).alias("node"), "v", F.lit(1).alias("side"), "w")
-    points = points.groupBy(*group, "node", "v", "side").agg(F.sum("w").alias("w"))
-    asked = known.select(*group, F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col(value).alias("v")).distinct()
-    inner = asked.withColumn("a", F.expr(f"greatest(0, {place('lo')})")).withColumn("b", F.expr(f"least({ends[1] - base}, {place('hi')})"))
-    asks = inner.select(*group, "lo", "hi", "v", F.explode(_cover("a", "b", levels)).alias("node")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(2))))
-    probes = asks.select(*group, "node", "v", "side").distinct().withColumn("w", F.lit(0).cast("long"))
-    both = points.unionByName(probes).select(*group, F.col("node.k").alias("k"), F.col("node.i").alias("i"), "v", "side", "w")
-    ranked = running_totals(both, [*group, "k", "i"], [F.col("v"), F.col("side")], "w", "bigint").where("side <> 1")
-    per_node = ranked.groupBy(*group, "k", "i", "v").agg(F.max(F.when(F.col("side") == 0, F.col("before"))).alias("b"), F.max(F.when(F.col("side") == 2, F.col("before"))).alias("e"), F.max("total").alias("total"))
-    per_node = cut(per_node)
-    asks = asks.where("side = 0").select(*group, "lo", "hi", "v", F.col("node.k").alias("k"), F.col("node.i").alias("i"))
-    sums = asks.join(per_node, [*group, "k", "i", "v"]).groupBy(*group, "lo", "hi", "v").agg(F.sum("total").alias("n"), F.sum("b").alias("less"), F.sum(F.col("e") - F.col("b")).alias("equal"))
-    sums = sums.withColumnsRenamed({"lo": "__lo", "hi": "__hi", "v": "__v"})
-    same = [F.col(lo) == F.col("__lo"), F.col(hi) == F.col("__hi"), F.col(value) == F.col("__v"), *[F.col(g) == F.col(f"__{g}") for g in group]]
-    return rows.join(sums.withColumnsRenamed({g: f"__{g}" for g in group}), same, "left").drop("__lo", "__hi", "__v", *[f"__{g}" for g in group])
+    how many of them have a smaller or the same value (see functions.windows)."""
+    return windows.window_ranks(rows, group, t, value, [windows.Span("w", lo, hi)]).withColumnsRenamed({"w_n": "n", "w_less": "less", "w_equal": "equal"})
 
 
 def months_window(created: Column, months: int) -> tuple[Column, Column]:
@@ -104,22 +79,23 @@ def months_window(created: Column, months: int) -> tuple[Column, Column]:
 
 def cohort_percentiles(rows: DataFrame, group: list[str], created: str, lower: str, upper: str, value: str, least: int, ladder: list[tuple[int, list[int]]] = LADDER) -> DataFrame:
     """rows with level, cohort_n and local: the mid-rank percentile among rows of the same age bucket
-    created within the months around, on the first level of the ladder with at least least rows."""
+    created within the months around, on the first level of the ladder with at least least rows. All
+    levels are counted in one pass."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
-    out = rows.withColumns({"level": F.lit(None).cast("int"), "cohort_n": F.lit(None).cast("long"), "local": F.lit(None).cast("double")})
+    cols, spans = {"__t": day(F.col(created))}, []
     for level, (months, edges) in enumerate(ladder):
         lo, hi = months_window(F.col(created), months)
-        at = bucket(F.col(lower), F.col(upper), [e * DAY for e in edges])
-        placed = out.withColumns({"__b": at, "__t": day(F.col(created)), "__from": day(lo), "__to": day(hi), "__value": F.when(at.isNotNull(), F.col(value))})
-        found = window_ranks(placed, [*group, "__b"], "__t", "__from", "__to", "__value")
-        use = F.col("level").isNull() & (F.col("n") >= least)
-        out = found.withColumns({
-            "local": F.when(use, (F.col("less") + F.col("equal") / 2) / F.col("n")).otherwise(F.col("local")),
-            "cohort_n": F.when(use, F.col("n")).otherwise(F.col("cohort_n")),
-            "level": F.when(use, level).otherwise(F.col("level")),
-        }).drop("__b", "__t", "__from", "__to", "__value", "n", "less", "equal")
-        out = cut(out)
-    return out
+        cls = "__b" + "_".join(map(str, edges))
+        cols |= {f"__lo{months}": day(lo), f"__hi{months}": day(hi), cls: bucket(F.col(lower), F.col(upper), [e * DAY for e in edges])}
+        spans.append(windows.Span(f"__{level}", f"__lo{months}", f"__hi{months}", cls))
+    found = windows.window_ranks(rows.withColumns(cols), group, "__t", value, spans)
+    enough = lambda k: F.col(f"__{k}_n") >= least
+    first = lambda pick: F.coalesce(*[F.when(enough(k), pick(k)) for k in range(len(spans))])
+    out = found.withColumns({
+        "level": first(lambda k: F.lit(k)), "cohort_n": first(lambda k: F.col(f"__{k}_n")),
+        "local": first(lambda k: (F.col(f"__{k}_less") + F.col(f"__{k}_equal") / 2) / F.col(f"__{k}_n")),
+    })
+    return out.drop(*cols, *[f"{s.name}_{c}" for s in spans for c in ("n", "less", "equal")])
 
 
 # --- calendar feathering, quotas, routes ------------------------------------------------------------
@@ -146,15 +122,16 @@ def quotas(n: int, per_mille: list[int]) -> list[int]:
     return out
 
 
-def routes(rows: DataFrame, group: str, main: str, rescue: str, audit: Column, key: str, shares: list[int]) -> DataFrame:
+def routes(rows: DataFrame, group: str, main: str, rescue: str, audit: Column, key: str, shares: list[int], ties: str | None = None) -> DataFrame:
     """rows with route: per group the first by main, then of the others the first by rescue, then by
     hash, the rest rejected. Each group's numbers are whole shares of its size; the groups are few
     (their sizes come to the driver), their rows are numbered over all tasks."""
     sizes = {r[0]: quotas(r[1], shares) for r in rows.groupBy(group).count().collect()}
     limit = lambda k: F.coalesce(F.element_at(F.create_map(*[x for g, q in sizes.items() for x in (F.lit(g), F.lit(q[k]))]), F.col(group)), F.lit(0)) if sizes else F.lit(0)
     left, out = rows, []
+    tie = [F.col(ties)] if ties else []
     for k, (route, order) in enumerate((("main", F.col(main).desc_nulls_last()), ("rescue", F.col(rescue).desc_nulls_last()), ("audit", audit.asc()))):
-        placed = cut(positions(left, [order, F.col(key)], [group]).withColumn("__in", F.col("position") <= limit(k)))
+        placed = cut(positions(left, [order, *(tie if k < 2 else []), F.col(key)], [group]).withColumn("__in", F.col("position") <= limit(k)))
         out.append(placed.where("__in").drop("__in", "position").withColumn("route", F.lit(route)))
         left = placed.where("NOT __in").drop("__in", "position")
     out.append(left.withColumn("route", F.lit("rejected")))
@@ -219,14 +196,14 @@ def window_sums(rows: DataFrame, group: list[str], t: str, lo: str, hi: str, val
     return rows.join(sums, same, "left").drop("__lo", "__hi", *[f"__{g}" for g in group])
 
 
-def maker_prior(rows: DataFrame, maker: str, t: str, lo: str, hi: str, value: str, mean: float, weight: int = 50, least: int = 5) -> DataFrame:
-    """rows with prior, -1..1: how far the maker's other items in the window lie above the mean, drawn
+def maker_prior(rows: DataFrame, maker: list[str], t: str, lo: str, hi: str, value: str, mean: Column, weight: int = 50, least: int = 5) -> DataFrame:
+    """rows with prior, 0..1: how far the maker's other items in the window lie above the mean, drawn
     to it by weight items; 0 for fewer than least others."""
-    w = window_sums(rows, [maker], t, lo, hi, value)
+    w = window_sums(rows, maker, t, lo, hi, value)
     own = F.when((F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi)), F.col(value).cast("double"))
     others, total = F.coalesce("n", F.lit(0)) - F.when(own.isNotNull(), 1).otherwise(0), F.coalesce("sum", F.lit(0.0)) - F.coalesce(own, F.lit(0.0))
     posterior = (total + weight * mean) / (others + weight)
-    return w.withColumn("prior", F.when(others >= least, clamp((posterior - mean) / 0.2, -1.0, 1.0)).otherwise(0.0)).drop("n", "sum")
+    return w.withColumn("prior", F.when(others >= least, clamp((posterior - mean) / 0.2, 0.0, 1.0)).otherwise(0.0)).drop("n", "sum")
 
 
 def duplicate_heat(rows: DataFrame, group: str, key: str, kind: str, fav: str, up: str, created: str, policy: str, shown: int = 3) -> DataFrame:

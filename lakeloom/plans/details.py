@@ -82,7 +82,7 @@ def maker_priors(spark: SparkSession, d: str) -> DataFrame:
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
     lo, hi = R.months_window(F.col("created"), 36)
     rows = rows.withColumns({"t": day(F.col("created")), "lo": day(lo), "hi": day(hi)})
-    return R.maker_prior(rows, "artist", "t", "lo", "hi", "percentile", 0.5).select("id", F.round("prior", 6).alias("prior"))
+    return R.maker_prior(rows, ["artist"], "t", "lo", "hi", "percentile", F.lit(0.5)).select("id", F.round("prior", 6).alias("prior"))
 
 
 def _duplicates(policy: str):
@@ -124,7 +124,7 @@ SQL = {
       SELECT status, count(*) AS n, sum(CASE WHEN status = 'available' THEN n END)::BIGINT AS bytes FROM s GROUP BY 1""",
     "q_maker_prior": f"""{_POP}, p AS (SELECT id, artist, created, (rank() OVER (PARTITION BY rating ORDER BY heat) - 1 + count(*) OVER (PARTITION BY rating, heat) / 2) / count(*) OVER (PARTITION BY rating) AS p FROM h WHERE heat IS NOT NULL),
       w AS (SELECT x.id, count(y.id) AS n, coalesce(sum(y.p), 0) AS s FROM p x LEFT JOIN p y ON y.artist = x.artist AND y.id <> x.id AND y.created BETWEEN x.created - INTERVAL 36 MONTH AND x.created + INTERVAL 36 MONTH GROUP BY 1)
-      SELECT id, round(CASE WHEN n >= 5 THEN greatest(-1.0, least(1.0, ((s + 25) / (n + 50) - 0.5) / 0.2)) ELSE 0.0 END, 6) AS prior FROM w""",
+      SELECT id, round(CASE WHEN n >= 5 THEN greatest(0.0, least(1.0, ((s + 25) / (n + 50) - 0.5) / 0.2)) ELSE 0.0 END, 6) AS prior FROM w""",
     "q_duplicate_heat_highest": _DUP.format("best"),
     "q_duplicate_heat_sum": _DUP.format("(fav + 1)::HUGEINT * (up + 1)::HUGEINT"),
     "q_metric_merge": "SELECT event_type, k AS name, sum(v)::BIGINT AS total, max(v) AS most FROM (SELECT event_type, unnest(json_keys(props)) AS k, props FROM events) e, LATERAL (SELECT (props ->> ('$.' || k))::BIGINT AS v) GROUP BY ALL",
