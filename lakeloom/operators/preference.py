@@ -52,7 +52,7 @@ def outcome(d: Column, ties: float) -> tuple[Column, Column]:
     return mean, (win + tie / 4) / z - mean * mean
 
 
-def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds: int = 60, tolerance: float = TOLERANCE) -> DataFrame:
+def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds: int = 128, tolerance: float = TOLERANCE) -> DataFrame:
     """(item, score, component): the regularised maximum-likelihood scores with ties, by damped
     diagonal Newton steps, centred within each component of the comparison graph."""
     sides = cut(both_ways(p).groupBy("item", "other").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")))
@@ -72,8 +72,8 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
         largest = s2.agg(F.max("step")).first()[0]
         s = s2.drop("step")
         if largest is None or largest < tolerance:
-            break
-    return s.select("item", "score", "component")
+            return s.select("item", "score", "component")
+    raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
 
 
 def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float) -> DataFrame:
@@ -94,6 +94,9 @@ def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: fl
         s -= (np.bincount(group, s) / np.bincount(group))[group]
         if np.abs(step).max() < tolerance:
             break
+    else:
+        if n:
+            raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
     return sides.sparkSession.createDataFrame(items.assign(score=s)[["item", "score", "component"]], f"item {dict(parts.dtypes)['item']}, score double, component {dict(parts.dtypes)['component']}")
 
 
@@ -132,6 +135,39 @@ def split_half(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return batches.where(half == 0), batches.where(half == 1)
 
 
+def residuals(p: DataFrame, scores: DataFrame, ties: float = TIES) -> DataFrame:
+    """(item, disagreement): the weighted mean distance of an item's results from those its score expects."""
+    own, other = scores.select(F.col("item").alias("__a"), F.col("score").alias("__s")), scores.select(F.col("item").alias("__b"), F.col("score").alias("__t"))
+    sides = both_ways(p).join(own, F.col("item") == F.col("__a")).join(other, F.col("other") == F.col("__b"))
+    mean, _ = outcome((F.col("__s") - F.col("__t")) / 2, ties)
+    return sides.groupBy("item").agg((F.sum(F.col("w") * F.abs(F.col("y") - mean)) / F.sum("w")).alias("disagreement"))
+
+
+def stability(batches: DataFrame) -> DataFrame:
+    """(items, distance): the mean distance of the percentiles that two halves of the batches give."""
+    halves = [midranks(borda(pairs(h)).withColumn("g", F.lit(1)), ["g"], "score").select("item", F.col("percentile").alias(n)) for h, n in zip(split_half(batches), "ab")]
+    return halves[0].join(halves[1], "item").agg(F.count("*").alias("items"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"))
+
+
+def sensitivity(p: DataFrame) -> DataFrame:
+    """(batch, influence): the mean distance by which its items' mean results would move without a batch;
+    items that are in no other batch don't count."""
+    per = both_ways(p).groupBy("item", "batch").agg(F.avg("y").alias("y"))
+    whole = per.groupBy(F.col("item").alias("__i")).agg(F.sum("y").alias("sum"), F.count("*").alias("n")).where("n > 1")
+    moved = per.join(whole, F.col("item") == F.col("__i"))
+    return moved.groupBy("batch").agg(F.avg(F.abs(F.col("sum") / F.col("n") - (F.col("sum") - F.col("y")) / (F.col("n") - 1))).alias("influence"))
+
+
+def parsed_judgements(rows: DataFrame, kind: str) -> DataFrame:
+    """(batch, tiers, elite, problem) of JSON judgements (batch, asked, text): unreadable, incomplete (not
+    exactly the asked items), repeated, or elite items that weren't judged; null for a good one."""
+    v = F.from_json("text", f"struct<tiers:array<array<{kind}>>,elite:array<{kind}>>", {"mode": "PERMISSIVE"})
+    x = rows.withColumn("v", v).withColumn("all", F.flatten("v.tiers"))
+    same = (F.size(F.array_except("all", "asked")) == 0) & (F.size(F.array_except("asked", "all")) == 0)
+    problem = F.when(F.col("all").isNull(), "unreadable").when(~same, "incomplete").when(F.size("all") != F.size(F.array_distinct("all")), "repeated").when(F.size(F.array_except(F.coalesce("v.elite", F.array().cast(f"array<{kind}>")), "all")) > 0, "elite")
+    return x.select("batch", "v.tiers", "v.elite", problem.alias("problem"))
+
+
 def latest_review(reviews: DataFrame, until: int) -> DataFrame:
     """(ordinal, decision): each item's last decision at a watermark."""
     seen = reviews.where(F.col("seq") <= until)

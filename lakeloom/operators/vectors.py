@@ -86,8 +86,8 @@ def probe(index: DataFrame, key: str, centroids: np.ndarray, query: list[float],
 def batch_nearest(queries: DataFrame, index: DataFrame, key: str, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
     """(query, key, distance, rank): the k nearest of many queries (query, u), each probing some lists.
 
-    Lists are cut into slices of at most about SLICE_ROWS rows and SLICE_QUERIES queries by hash, from
-    the sizes of the lists (at most MAX_LISTS numbers). A task multiplies one slice of rows with one of
+    Each list is cut into slices of at most about SLICE_ROWS rows and SLICE_QUERIES queries by hash, from
+    its own size (at most MAX_LISTS numbers). A task multiplies one slice of rows with one of
     queries and keeps k of each query; these few candidates are merged by query."""
     q_kind, k_kind = dict(queries.dtypes)["query"], dict(index.dtypes)[key]
 
@@ -98,11 +98,12 @@ def batch_nearest(queries: DataFrame, index: DataFrame, key: str, centroids: np.
                 yield pd.DataFrame({"query": np.repeat(b["query"].to_numpy(), near.shape[1]), "q": np.repeat(b["u"].to_numpy(), near.shape[1]), "list": near.ravel()})
 
     asks = queries.select("query", "u").mapInPandas(lists, f"query {q_kind}, q array<double>, list long")
-    most = lambda df: (df.groupBy("list").count().agg(F.max("count")).first()[0]) or 1
-    slices, parts = -(-most(index) // SLICE_ROWS), -(-most(asks) // SLICE_QUERIES)
-    each = lambda n: F.explode(F.array(*map(F.lit, range(n))))
-    asks = asks.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("slice", each(slices))
-    rows = index.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).withColumn("part", each(parts))
+    sizes = lambda df, n: {r[0]: -(-r[1] // n) for r in df.groupBy("list").count().collect()}  # noqa: E731 - at most MAX_LISTS rows
+    in_slices, in_parts = sizes(index, SLICE_ROWS), sizes(asks, SLICE_QUERIES)
+    of = lambda d: F.coalesce(F.try_element_at(F.create_map(*[x for k, n in d.items() for x in (F.lit(k), F.lit(int(n)))]), F.col("list")), F.lit(1)) if any(n > 1 for n in d.values()) else F.lit(1)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("query"), of(in_parts)).cast("int")).withColumn("slice", each(of(in_slices)))
+    rows = index.withColumn("slice", F.pmod(F.xxhash64(key), of(in_slices)).cast("int")).withColumn("part", each(of(in_parts)))
 
     def multiply(a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -122,6 +123,20 @@ def batch_nearest(queries: DataFrame, index: DataFrame, key: str, centroids: np.
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def probes_for(asked: DataFrame, index: DataFrame, key: str, centroids: np.ndarray, k: int, recall: float = 0.95, sample: int = 200) -> int:
+    """The fewest probes with which at most sample queries (query, u), by hash, find the share recall of their
+    exact k nearest: each neighbour needs as many probes as its list is far down the query's order of lists."""
+    some = asked.orderBy(F.xxhash64("query")).limit(sample)
+    one = np.zeros((1, centroids.shape[1]))
+    exact = batch_nearest(some, index.select(key, "u", F.lit(0).cast("long").alias("list")), key, one, k, 1).select("query", key)
+    where = exact.join(index.select(key, "list"), key).join(some, "query").select("u", "list").toPandas()  # at most sample * k rows
+    if not len(where):
+        return 1
+    order = np.argsort(-(np.stack(where["u"].to_numpy()) @ centroids.T), axis=1)
+    needed = np.sort((order == where["list"].to_numpy()[:, None]).argmax(axis=1) + 1)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
 def sign_hash(col: str) -> Column:
     """64 bits: the signs of the first 64 components."""
     return F.aggregate(F.slice(col, 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
@@ -173,9 +188,34 @@ def coverage(discovered: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def byte_batches(items: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
-    """items with batch: consecutive items in the order, cut where the running size passes a multiple of
-    limit, so that a batch holds at most limit and one item more."""
+    """items with batch, rising in the order: consecutive items of at most limit together, or one larger item.
+
+    The running size is cut into cells of limit; the items that lie within a cell are a batch, and one
+    that crosses into the next is a batch of its own, so that all batches come from one running sum."""
     from lakeloom.functions.stats import running_totals
 
     summed = running_totals(items.withColumn("__one", F.lit(0)), ["__one"], [F.col(c) for c in order], size, "bigint")
-    return summed.withColumn("batch", F.floor(F.col("before") / limit).cast("long")).drop("__one", "before", "total")
+    crosses = F.when(F.col("before") % limit + F.col(size) > limit, 1).otherwise(0)
+    return summed.withColumn("batch", F.floor(F.col("before") / limit).cast("long") * 2 + crosses).drop("__one", "before", "total")
+
+
+def sources_updated(table: DataFrame, found: DataFrame, key: str, sources: str) -> DataFrame:
+    """table with the sorted source ids of found (key, sources) where they differ; changed tells which rows."""
+    new = found.select(F.col(key).alias("__k"), F.array_sort(F.array_distinct(sources)).alias("__s"))
+    joined = table.join(new, F.col(key) == F.col("__k"), "left")
+    differ = F.col("__s").isNotNull() & ~F.col("__s").eqNullSafe(F.col(sources))
+    return joined.withColumn("changed", differ).withColumn(sources, F.when(differ, F.col("__s")).otherwise(F.col(sources))).drop("__k", "__s")
+
+
+def kept_versions(versions: list[tuple[int, int]], pinned: set[int], now: int, keep: int = 8, age: int = 168 * 3600) -> list[int]:
+    """Of (version, second of its making) those to keep: the newest keep, all younger than age, pinned ones."""
+    newest = {v for v, _ in sorted(versions)[-keep:]} if keep else set()
+    return sorted(v for v, at in versions if v in newest or v in pinned or now - at < age)
+
+
+def planned(discovered: DataFrame, outcomes: DataFrame, recipes: list[str]) -> DataFrame:
+    """(object_id, recipes): what is still to be done for each discovered object; objects for which every
+    recipe has an outcome aren't in it, so that nothing of them is read."""
+    wanted = discovered.select("object_id").distinct().select("object_id", F.explode(F.array(*map(F.lit, recipes))).alias("recipe"))
+    left = wanted.join(outcomes.where("ok").select("object_id", "recipe"), ["object_id", "recipe"], "left_anti")
+    return left.groupBy("object_id").agg(F.array_sort(F.collect_set("recipe")).alias("recipes"))

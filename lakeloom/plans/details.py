@@ -41,12 +41,6 @@ def _linked(lake: Lake, assets: DataFrame) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    """The observations linked to each asset of objects below a hash: its own, and others of its post."""
-    lake = from_members(spark, d)
-    return _linked(lake, lake.assets.where("sha256 < '04'"))
-
-
-def history_all(spark: SparkSession, d: str) -> DataFrame:
     """The observations linked to each asset."""
     lake = from_members(spark, d)
     return _linked(lake, lake.assets)
@@ -72,7 +66,7 @@ def raw_record(spark: SparkSession, d: str) -> DataFrame:
     """Items' records with a cap on their size in bytes: available, missing or too large."""
     i = spark.read.parquet(f"{d}/items.parquet").select("job_id", "post_id", "record_json").distinct()
     size = F.octet_length("record_json")
-    status = F.when(size.isNull() | (size == 0), "missing").when(size > 600, "too_large").otherwise("available")
+    status = F.when(size.isNull() | (size == 0), "missing").when(size > 200, "too_large").otherwise("available")
     return i.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.sum(F.when(status == "available", size)).cast("long").alias("bytes"))
 
 
@@ -107,7 +101,7 @@ def top_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "q_boolean_tags": boolean_tags, "q_history": history, "q_history_all": history_all, "q_object_overview": object_overview, "q_representatives": representatives, "q_raw_record": raw_record, "q_maker_prior": maker_priors,
+    "q_boolean_tags": boolean_tags, "q_history": history, "q_object_overview": object_overview, "q_representatives": representatives, "q_raw_record": raw_record, "q_maker_prior": maker_priors,
     "q_duplicate_heat_highest": _duplicates("highest"), "q_duplicate_heat_sum": _duplicates("sum"), "q_metric_merge": metric_merge, "q_top_rows": top_customers,
 }
 _HAS = "list_contains(string_split(tag_string, ' '), '{}')"
@@ -117,10 +111,10 @@ SELECT family, posts, ({{}})::DOUBLE AS heat, strftime(created, '%Y-%m-%d %H:%M:
 SQL = {
     "q_boolean_tags": f"{LAKE_SQL} SELECT row_id FROM observations WHERE {_HAS.format('single_subject')} AND ({_HAS.format('full_frame')} OR {_HAS.format('rolled_cuffs')}) AND NOT {_HAS.format('outdoor_scene')}",
     "q_history": f"""{LAKE_SQL} SELECT a.asset_id, o.row_id, o.commit_seq, CASE WHEN o.row_id = a.row_id THEN 'origin' ELSE 'same_post' END AS relation
-      FROM assets a JOIN observations o ON o.row_id = a.row_id OR o.post_id = a.post_id WHERE a.sha256 < '04'""",
+      FROM assets a JOIN observations o ON o.row_id = a.row_id UNION ALL SELECT a.asset_id, o.row_id, o.commit_seq, 'same_post' FROM assets a JOIN observations o ON o.post_id = a.post_id AND o.row_id <> a.row_id""",
     "q_object_overview": f"""{LAKE_SQL} SELECT sha256, count(*) AS assets, nullif(count(DISTINCT post_id), 0) AS posts, list_sort(list_distinct(list(post_id) FILTER (post_id IS NOT NULL)))[1:3] AS first_posts FROM assets WHERE sha256 IS NOT NULL GROUP BY 1""",
     "q_representatives": f"{LAKE_SQL} SELECT asset_id, duplicate_of FROM (SELECT asset_id, min(asset_id) OVER (PARTITION BY sha256) AS duplicate_of FROM assets WHERE sha256 IS NOT NULL) WHERE asset_id <> duplicate_of",
-    "q_raw_record": """WITH i AS (SELECT DISTINCT job_id, post_id, record_json, strlen(record_json) AS n FROM items), s AS (SELECT *, CASE WHEN n IS NULL OR n = 0 THEN 'missing' WHEN n > 600 THEN 'too_large' ELSE 'available' END AS status FROM i)
+    "q_raw_record": """WITH i AS (SELECT DISTINCT job_id, post_id, record_json, strlen(record_json) AS n FROM items), s AS (SELECT *, CASE WHEN n IS NULL OR n = 0 THEN 'missing' WHEN n > 200 THEN 'too_large' ELSE 'available' END AS status FROM i)
       SELECT status, count(*) AS n, sum(CASE WHEN status = 'available' THEN n END)::BIGINT AS bytes FROM s GROUP BY 1""",
     "q_maker_prior": f"""{_POP}, p AS (SELECT id, artist, created, (rank() OVER (PARTITION BY rating ORDER BY heat) - 1 + count(*) OVER (PARTITION BY rating, heat) / 2) / count(*) OVER (PARTITION BY rating) AS p FROM h WHERE heat IS NOT NULL),
       w AS (SELECT x.id, count(y.id) AS n, coalesce(sum(y.p), 0) AS s FROM p x LEFT JOIN p y ON y.artist = x.artist AND y.id <> x.id AND y.created BETWEEN x.created - INTERVAL 36 MONTH AND x.created + INTERVAL 36 MONTH GROUP BY 1)

@@ -210,7 +210,7 @@ y2 AS (SELECT *, coalesce(sm * sm * (3 - 2 * sm), 1.0) AS wt, CASE WHEN into_ <
 m AS (SELECT id, rating, heat, support, ag, 'old' AS side, oldp AS period, 1 - wt AS w FROM y2 WHERE heat IS NOT NULL AND ag IS NOT NULL UNION ALL SELECT id, rating, heat, support, ag, 'new', newp, wt FROM y2 WHERE heat IS NOT NULL AND ag IS NOT NULL),
 mm AS (SELECT * FROM m WHERE w > 0),
 ef AS (SELECT rating, period, ag, sum(w) ** 2 / sum(w * w) AS eff FROM mm GROUP BY ALL HAVING eff >= 150),
-sp AS (SELECT rating, period, ag, support, sum(sum(w)) OVER (PARTITION BY rating, period, ag ORDER BY support) AS upto, sum(sum(w)) OVER (PARTITION BY rating, period, ag) AS al FROM mm WHERE support > 0 GROUP BY ALL),
+sp AS (SELECT rating, period, ag, support, sum(sum(w)) OVER (PARTITION BY rating, period, ag ORDER BY support) AS upto, sum(sum(w)) OVER (PARTITION BY rating, period, ag) AS al FROM mm WHERE support > 0 GROUP BY rating, period, ag, support),
 md AS (SELECT rating, period, ag, min(support) AS med FROM sp WHERE upto >= al / 2 GROUP BY ALL),
 tt AS (SELECT rating, period, ag, heat, sum(w) AS s FROM mm GROUP BY ALL),
 tp AS (SELECT rating, period, ag, heat, (sum(s) OVER (PARTITION BY rating, period, ag ORDER BY heat) - s / 2) / sum(s) OVER (PARTITION BY rating, period, ag) AS raw FROM tt),
