@@ -1,4 +1,4 @@
 """lakeloom: a Spark-native engine for versioned, tagged collections of records.
 
-Everything returns lazy DataFrames; see the README for the map of modules.
+See the README for the map of modules.
 """

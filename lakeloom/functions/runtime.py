@@ -38,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the checkpoint folder, once its results are stored or
+    no longer wanted: a DataFrame that was cut can't be read after that."""
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(named.get())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path):
+            fs.delete(f.getPath(), True)
+
+
 def global_positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Number all rows 0..n-1 in the given total order without a single-task window.
 

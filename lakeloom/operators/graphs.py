@@ -40,10 +40,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def least_depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """(node, depth) of nodes within limit steps: edges (src, dst, step) from roots (node, depth).
 
-    Only nodes whose depth fell go on in the next round."""
+    Only nodes whose depth fell go on in the next round, so that it ends with any steps of at least 0."""
     known = roots.groupBy("node").agg(F.min("depth").alias("depth")).where(F.col("depth") <= limit)
     fresh = known
-    for _ in range(MAX_ROUNDS):
+    while True:
         reached = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + F.col("step")).alias("depth")).where(F.col("depth") <= limit)
         reached = reached.groupBy("node").agg(F.min("depth").alias("new"))
         better = reached.join(known, "node", "left").where("depth IS NULL OR new < depth").select("node", F.col("new").alias("depth"))
@@ -51,7 +51,6 @@ def least_depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
         if fresh.isEmpty():
             return known
         known = cut(known.unionByName(fresh).groupBy("node").agg(F.min("depth").alias("depth")))
-    raise RuntimeError("depths didn't settle")
 
 
 def covering_page(asks: DataFrame, pages: DataFrame, now: int, fresh_for: int, width: int = 1000) -> DataFrame:

@@ -52,13 +52,14 @@ def outcome(d: Column, ties: float) -> tuple[Column, Column]:
     return mean, (win + tie / 4) / z - mean * mean
 
 
-def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds: int = 128, tolerance: float = TOLERANCE) -> DataFrame:
+def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds: int = 128, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """(item, score, component): the regularised maximum-likelihood scores with ties, by damped
-    diagonal Newton steps, centred within each component of the comparison graph."""
+    diagonal Newton steps, centred within each component of the comparison graph. A fit that doesn't
+    settle within the rounds is an error if strict, else returned as it is."""
     sides = cut(both_ways(p).groupBy("item", "other").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")))
     parts = cut(components(p, "i", "j").withColumnRenamed("node", "item"))
     if sides.limit(LOCAL_PAIRS + 1).count() <= LOCAL_PAIRS:  # the same rounds without a job for each
-        return _davidson_local(sides, parts, regular, ties, rounds, tolerance)
+        return _davidson_local(sides, parts, regular, ties, rounds, tolerance, strict)
     s = parts.select("item", "component", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         other = s.select(F.col("item").alias("other"), F.col("score").alias("t"))
@@ -73,10 +74,12 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
         s = s2.drop("step")
         if largest is None or largest < tolerance:
             return s.select("item", "score", "component")
-    raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
+    if strict:
+        raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
+    return s.select("item", "score", "component")
 
 
-def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float) -> DataFrame:
+def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float, strict: bool) -> DataFrame:
     """The rounds of davidson in numpy, for at most LOCAL_PAIRS pairs."""
     pdf, items = sides.toPandas(), parts.toPandas()
     place = {x: k for k, x in enumerate(items["item"])}
@@ -95,7 +98,7 @@ def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: fl
         if np.abs(step).max() < tolerance:
             break
     else:
-        if n:
+        if n and strict:
             raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
     return sides.sparkSession.createDataFrame(items.assign(score=s)[["item", "score", "component"]], f"item {dict(parts.dtypes)['item']}, score double, component {dict(parts.dtypes)['component']}")
 

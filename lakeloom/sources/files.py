@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -23,30 +24,32 @@ def generated(spark: SparkSession, n: int = 32) -> DataFrame:
     return spark.range(1, n + 1).select(F.sha2(F.col("id").cast("string"), 256).alias("sha256"), (F.col("id") * 100).alias("length"), F.lit("webp").alias("stored_ext"))
 
 
+def file_system(root: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a URI (or absolute path) and the path in it: tasks read and write where all
+    executors see the same files, not on a disk of their own."""
+    return pa.fs.FileSystem.from_uri(root)
+
+
 def packed_ranges(rows: DataFrame, root: str, key: str) -> DataFrame:
     """(key, data, ok) of rows (key, pack_path, offset, length, sha256): the bytes of each range, read in
     the order of the packs, and whether they have the hash. A missing file or short range is not ok."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened: tuple[str, object] | None = None
+        fs, base = file_system(root)
+        opened: tuple[str, pa.NativeFile] | None = None
         for b in batches:
             out = []
             for k, path, offset, length, sha in zip(b[key], b["pack_path"], b["offset"], b["length"], b["sha256"]):
                 data = None
                 try:
                     if opened is None or opened[0] != path:
-                        if opened is not None:
-                            opened[1].close()
-                        opened = (path, open(os.path.join(root, path), "rb"))  # noqa: SIM115
-                    opened[1].seek(int(offset))
-                    data = opened[1].read(int(length))
+                        opened = (path, fs.open_input_file(f"{base}/{path}"))
+                    data = opened[1].read_at(int(length), int(offset))
                 except (OSError, TypeError, ValueError):
                     opened = None
                 ok = data is not None and len(data) == length and hashlib.sha256(data).hexdigest() == sha
                 out.append((k, data, ok))
             yield pd.DataFrame(out, columns=[key, "data", "ok"])
-        if opened is not None:
-            opened[1].close()
 
     kind = dict(rows.dtypes)[key]
     wanted = rows.select(key, "pack_path", "offset", "length", "sha256").repartitionByRange("pack_path", "offset").sortWithinPartitions("pack_path", "offset")
@@ -178,17 +181,18 @@ def write_exports(rows: DataFrame, folder: str) -> DataFrame:
     result tells (file_name, bytes). Names that leave the folder are refused."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
         for b in batches:
             out = []
             for name, data, side in zip(b["file_name"], b["data"], b["sidecar"]):
                 if not re.fullmatch(r"[^/\\\0]+", name) or name in (".", ".."):
                     raise ValueError(f"file name {name!r}")
-                for path, content in ((f"{folder}/{name}", data), (f"{folder}/{name}.txt", side.encode() if side is not None else None)):
+                for path, content in ((f"{base}/{name}", data), (f"{base}/{name}.txt", side.encode() if side is not None else None)):
                     if content is not None:
-                        with open(path + ".part", "wb") as f:
+                        with fs.open_output_stream(path + ".part") as f:
                             f.write(content)
-                        os.replace(path + ".part", path)
+                        fs.move(path + ".part", path)
                 out.append((name, len(data)))
             yield pd.DataFrame(out, columns=["file_name", "bytes"])
 

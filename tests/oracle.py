@@ -19,10 +19,11 @@ def plain(v):
     return v
 
 
-def same(df, duck, sql):
+def same(df, duck, sql, empty=False):
     cols = sorted(df.columns)
     found = duck.sql(sql)
     assert sorted(found.columns) == cols
     got = Counter(tuple(map(plain, r)) for r in df.select(*cols).collect())
     want = Counter(tuple(map(plain, r)) for r in found.select(*[f'"{c}"' for c in cols]).fetchall())
     assert got == want
+    assert got or empty, "nothing was compared"

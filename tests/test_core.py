@@ -254,10 +254,10 @@ def test_preference_fit(spark):
     assert max(abs(g - P.REGULAR * fit[i].score) for i, g in grad.items()) < 1e-3
     P.LOCAL_PAIRS, held = 0, P.LOCAL_PAIRS
     try:  # two distributed rounds move as two local ones
-        far = {r["item"]: r.score for r in P.davidson(p, rounds=2).collect()}
+        far = {r["item"]: r.score for r in P.davidson(p, rounds=2, strict=False).collect()}
     finally:
         P.LOCAL_PAIRS = held
-    near = {r["item"]: r.score for r in P.davidson(p, rounds=2).collect()}
+    near = {r["item"]: r.score for r in P.davidson(p, rounds=2, strict=False).collect()}
     assert far.keys() == near.keys() and all(abs(far[i] - near[i]) < 1e-9 for i in far)
     b = {r["item"]: r.score for r in P.borda(p).collect()}
     assert b[0] > b[11] and b[50] == 0.5

@@ -1,22 +1,25 @@
 import pytest
 from oracle import same
 
-from lakeloom.plans import analyses, catalog, details, general, rankings
+from lakeloom.plans import analyses, catalog, details, general, rankings, works
 
-MODULES = (general, catalog, rankings, analyses, details)
+MODULES = (general, catalog, rankings, analyses, details, works)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
-SLOW = {"q_cohort_percentile"}
+#: Tested by themselves, with results of their own.
+ELSEWHERE = {"p1_found", "p1_linked", "p3_found", "p3_unified", "p4_found", "p4_values", "q_components", "q_depths", "q_selection_v2"}
+#: At the smallest scale no row meets all conditions.
+EMPTY = {"q_same_observation"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_is_its_sql(spark, data, duck, name):
-    same(QUERIES[name](spark, data), duck, SQL[name])
+    same(QUERIES[name](spark, data), duck, SQL[name], empty=name in EMPTY)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"p3_unified", "p4_values", "p1_comments"}))
-def test_query_runs(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - ELSEWHERE))
+def test_query_has_rows(spark, data, name):
+    assert QUERIES[name](spark, data).count() > 0
 
 
 def test_entry(spark, data):

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from lakeloom.operators import preference as P, ranking as R, schemas
+from lakeloom.operators import preference as P, ranking as R, schemas, vectors as V
 from lakeloom.plans import analyses, details, rankings
 from lakeloom.sources.lake import from_members
 
@@ -28,13 +28,13 @@ def test_all_parts_are_compared(spark, tmp_path):
     if len(members[-1]) < 16:
         members[-2:] = [members[-2] + members[-1]]
     want = {(b, *sorted(x, key=lambda k: (sizes[k] // 10, k))) for b, m in enumerate(members) for x in itertools.combinations(m, 2)}
-    rows = analyses.pair_expand_all(spark, d).collect()
+    rows = analyses.pair_expand(spark, d).collect()
     assert {(r.batch, r.i, r.j) for r in rows} == want and len(rows) == len(want)
     assert all(r.y == (1.0 if sizes[r.i] // 10 < sizes[r.j] // 10 else 0.5) for r in rows)
     for r in rows:
         met[r.i].add(r.y)
         met[r.j].add(1 - r.y)
-    assert {r["item"] for r in analyses.borda_all(spark, d).collect()} == {r["item"] for r in analyses.davidson(spark, d).collect()} == set(keys) == met.keys()
+    assert {r["item"] for r in analyses.borda(spark, d).collect()} == {r["item"] for r in analyses.davidson(spark, d).collect()} == set(keys) == met.keys()
 
 
 def versions(spark, rows):
@@ -78,7 +78,7 @@ def test_history_of_every_asset(spark, data):
     observed = [(r.row_id, r.post_id, r.commit_seq) for r in lake.observations.collect()]
     assets = lake.assets.collect()
     want = sorted((a.asset_id, r, c, "origin" if r == a.row_id else "same_post") for a in assets for r, p, c in observed if r == a.row_id or (p is not None and p == a.post_id))
-    assert sorted(map(tuple, details.history_all(spark, data).collect())) == want
+    assert sorted(map(tuple, details.history(spark, data).collect())) == want
     assert {x[0] for x in want} == {a.asset_id for a in assets}
 
 
@@ -98,13 +98,13 @@ def test_graph_of_all_lines(spark, tmp_path):
         parent[max(x, y)] = min(x, y)
         near[p].add(s + far)
         near[s + far].add(p)
-    assert {r.node: r.component for r in analyses.components_all(spark, str(tmp_path)).collect()} == {x: root(x) for x in parent}
+    assert {r.node: r.component for r in analyses.components(spark, str(tmp_path)).collect()} == {x: root(x) for x in parent}
     depth = dict.fromkeys((1, 3), 0)
     for step in range(1, 5):
         for x in [x for x, k in depth.items() if k == step - 1]:
             for y in near[x]:
                 depth.setdefault(y, step)
-    assert {r.node: r.depth for r in analyses.depths_all(spark, str(tmp_path)).collect()} == depth and max(depth.values()) == 4
+    assert {r.node: r.depth for r in analyses.depths(spark, str(tmp_path)).collect()} == depth and max(depth.values()) == 4
 
 
 def test_all_rungs_of_the_cohort_ladder(spark, data, duck):
@@ -114,7 +114,7 @@ def test_all_rungs_of_the_cohort_ladder(spark, data, duck):
       AND y.created BETWEEN x.created - to_months(x.m) AND x.created + to_months(x.m) WHERE x.heat IS NOT NULL AND y.heat IS NOT NULL GROUP BY ALL HAVING count(*) >= 200)
     SELECT h.id, level, n, round(p, 9) FROM h LEFT JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY level) = 1) USING (id)"""
     want = {r[0]: (r[1], r[2], r[3] and round(r[3], 6)) for r in duck.sql(sql).fetchall()}
-    got = {r.id: (r.level, r.cohort_n, r.local and round(r.local, 6)) for r in rankings.cohort_all(spark, data).collect()}
+    got = {r.id: (r.level, r.cohort_n, r.local and round(r.local, 6)) for r in rankings.cohort(spark, data).collect()}
     assert got == want and any((x[0] or 0) > 1 for x in got.values())
 
 
@@ -129,11 +129,12 @@ def test_all_components_and_all_asked_vectors(spark, tmp_path):
     d, bits = str(tmp_path), {i: tuple(y > 0 for y in v) for i, v, _ in rows}
     rep = {i: min(j for j in bits if bits[j] == b) for i, b in bits.items()}
     apart = {(a, b): sum(p != q for p, q in zip(bits[a], bits[b])) for a, b in itertools.combinations(sorted(set(rep.values())), 2)}
-    got = {(r.a, r.b): r.distance for r in analyses.hamming_all(spark, d).collect()}
+    classes, members = V.hamming_classes(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.sign_hash("embedding").alias("hash")), "vec_id", "hash")
+    got = {(r.a, r.b): r.distance for r in V.hamming_pairs(classes, 7).collect()}
     assert got == {k: n for k, n in apart.items() if n <= 7} and set(got.values()) == set(range(1, 8))
-    assert {r.vec_id: r.rep for r in analyses.hamming_members_all(spark, d).collect()} == rep
+    assert {r.vec_id: r.rep for r in members.collect()} == rep
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for query, k, among in ((analyses.knn_all, 20, range(130)), (analyses.knn_filtered_all, 10, [i for i in range(130) if i % 4 in (1, 3)])):
+    for query, k, among in ((analyses.knn, 20, range(130)), (analyses.knn_filtered, 10, [i for i in range(130) if i % 4 in (1, 3)])):
         found = defaultdict(list)
         for r in sorted(query(spark, d).collect(), key=lambda r: r["rank"]):
             found[r["query"]].append(round(r.distance, 5))
