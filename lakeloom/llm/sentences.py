@@ -138,6 +138,7 @@ class _Block:
         self.covered = self._cover()
         self.at: list[int] = []
         self.evidence: list[float] = []
+        self.plain = 1  # candidates at which a capital follows a plain mark, and the block's end
         self._candidates()
 
     def _marks(self) -> list[tuple[str, int, int]]:
@@ -255,6 +256,7 @@ class _Block:
                     word = s[s.rfind(" ", 0, i) + 1 : i] if s[i] == "." else "!"
                     if word == "!" and s[i] in "!?" or len(word) > 2 and word.isalpha() and word.lower() not in _LISTED:
                         self._put(stop, CUT)
+                        self.plain += 1
                         continue
                 self._mark(i, stop)
                 last = max(last, self.at[-1] if self.at and self.at[-1] > i and self.evidence[-1] > KEEP else stop)
@@ -490,6 +492,11 @@ def block_sentences(s: str, units: np.ndarray | None = None) -> Iterator[tuple[i
         units = letters_before(s)
     letters = units[[0, *b.at]].tolist()
     places = [0, *b.at]
+    if b.plain == n and min(map(int.__sub__, letters[1:], letters)) >= 12:
+        # every place has CUT and a good opening, and no span is short: a span scores at least -0.5 if it's shorter
+        # than TYPICAL, else at least as much as any longer one, so no cut can be left out with profit
+        yield from zip(places, b.at)
+        return
     order = [(_opening(s[0], b.small), 0)]  # by rising value
     best, back = [0.0] * (n + 1), [0] * (n + 1)
     for j in range(1, n + 1):
