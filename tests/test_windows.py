@@ -24,7 +24,7 @@ def test_spans_against_all_pairs(spark, monkeypatch, few):
     rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), rng.choice([None, *range(6)]), rng.choice([None, 1, 2]), "x") for k in range(300)]
     rows += [(1000 + k, "hot", 5, 3, 1, "x") for k in range(200)] + [(2000, "a", 10, 3, 1, "x")] * 3
     data = [(k, g, t, v, c, None if t is None else t - 3, None if t is None else t + 2, None if t is None else t - 100, None if t is None else t + 100, n) for k, g, t, v, c, n in rows]
-    df = spark.createDataFrame(data, "id long, g string, t long, v double, c int, lo long, hi long, lo2 long, hi2 long, id2 string")
+    df = spark.createDataFrame(data, "id long, g string, t long, v long, c int, lo long, hi long, lo2 long, hi2 long, id2 string")
     got = windows.window_ranks(df, ["g"], "t", "v", [Span("near", "lo", "hi"), Span("cls", "lo", "hi", "c"), Span("far", "lo2", "hi2", "c")]).collect()
     assert len(got) == len(rows)
     for r in got:
