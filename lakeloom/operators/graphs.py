@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.functions.runtime import cut
+from lakeloom.operators.ranking import cover, nodes
 
 #: Rounds after which a computation that should have settled is taken as faulty.
 MAX_ROUNDS = 60
@@ -53,13 +54,22 @@ def least_depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
         known = cut(known.unionByName(fresh).groupBy("node").agg(F.min("depth").alias("depth")))
 
 
-def covering_page(asks: DataFrame, pages: DataFrame, now: int, fresh_for: int, width: int = 1000) -> DataFrame:
+def covering_page(asks: DataFrame, pages: DataFrame, now: int, fresh_for: int) -> DataFrame:
     """Of each ask (ask_id, scope, x) the freshest page (page_id, scope, lower, through, fetched) with
     lower <= x < through that isn't older than fresh_for; asks without one are left out.
 
-    Both sides are joined by (scope, bucket of width): a page lies in every bucket that it reaches."""
+    Only the freshest page of each node of a dyadic tree over the places is kept, and each place that is
+    asked looks at the one node on every level that holds it: work grows with asks and pages times levels,
+    however many pages lie over a place."""
     good = pages.where((F.col("fetched") >= now - fresh_for) & (F.col("lower") < F.col("through")))
-    reach = F.sequence(F.floor(F.col("lower") / width), F.floor((F.col("through") - 1) / width))
-    spread = good.select("scope", "page_id", "lower", "through", "fetched", F.explode(reach).alias("bucket"))
-    hits = asks.withColumn("bucket", F.floor(F.col("x") / width)).join(spread, ["scope", "bucket"]).where("lower <= x AND x < through")
-    return hits.groupBy("ask_id").agg(F.max(F.struct("fetched", "page_id")).getField("page_id").alias("page_id"))
+    ends = good.agg(F.min("lower"), F.max("through")).first()  # two numbers
+    if ends[0] is None:
+        return asks.limit(0).join(good, "scope").select("ask_id", "page_id")
+    base, last = ends[0], ends[1] - 1
+    levels = (last - base).bit_length() + 1
+    reach = good.select("scope", "page_id", "fetched", (F.col("lower").cast("long") - base).alias("a"), (F.col("through").cast("long") - 1 - base).alias("b"))
+    best = reach.select("scope", "page_id", "fetched", F.explode(cover("a", "b", levels)).alias("node")).groupBy("scope", "node").agg(F.max(F.struct("fetched", "page_id")).alias("page"))
+    places = asks.select("scope", "x").where(F.col("x").between(base, last)).distinct()
+    held = places.select("scope", "x", F.explode(nodes(f"(CAST(x AS bigint) - {base})", levels)).alias("node")).join(best, ["scope", "node"])
+    freshest = held.groupBy("scope", "x").agg(F.max("page").alias("page"))
+    return asks.join(freshest, ["scope", "x"]).groupBy("ask_id").agg(F.max("page").getField("page_id").alias("page_id"))

@@ -50,12 +50,12 @@ def tie_key(domain: str, seed: str, key: Column) -> Column:
 # --- windows over time ----------------------------------------------------------------------------
 
 
-def _nodes(t: str, levels: int) -> Column:
+def nodes(t: str, levels: int) -> Column:
     """The tree nodes that hold a moment: one on every level."""
     return F.expr(f"transform(sequence(0, {levels - 1}), k -> named_struct('k', k, 'i', shiftright({t}, k)))")
 
 
-def _cover(lo: str, hi: str, levels: int) -> Column:
+def cover(lo: str, hi: str, levels: int) -> Column:
     """The fewest tree nodes that make up lo..hi: at most two on a level."""
     state = "struct<lo:bigint,hi:bigint,nodes:array<struct<k:int,i:bigint>>>"
     step = """named_struct(
@@ -187,10 +187,10 @@ def window_sums(rows: DataFrame, group: list[str], t: str, lo: str, hi: str, val
     if ends[0] is None:
         return rows.withColumns({"n": F.lit(None).cast("long"), "sum": F.lit(None).cast("double")})
     base, levels = ends[0], max(1, (ends[1] - ends[0]).bit_length() + 1)
-    nodes = known.select(*group, F.explode(_nodes(f"({t} - {base})", levels)).alias("node"), F.col(value).cast("double").alias("v")).groupBy(*group, "node").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    held = known.select(*group, F.explode(nodes(f"({t} - {base})", levels)).alias("node"), F.col(value).cast("double").alias("v")).groupBy(*group, "node").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     asked = rows.select(*group, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).where("__lo IS NOT NULL AND __hi IS NOT NULL").distinct()
     inner = asked.withColumn("a", F.expr(f"CAST(greatest(0, __lo - {base}) AS bigint)")).withColumn("b", F.expr(f"CAST(least({ends[1] - base}, __hi - {base}) AS bigint)"))
-    found = inner.select(*group, "__lo", "__hi", F.explode(_cover("a", "b", levels)).alias("node")).join(nodes, [*group, "node"])
+    found = inner.select(*group, "__lo", "__hi", F.explode(cover("a", "b", levels)).alias("node")).join(held, [*group, "node"])
     sums = found.groupBy(*group, "__lo", "__hi").agg(F.sum("n").alias("n"), F.sum("s").alias("sum")).withColumnsRenamed({g: f"__{g}" for g in group})
     same = [F.col(lo) == F.col("__lo"), F.col(hi) == F.col("__hi"), *[F.col(g) == F.col(f"__{g}") for g in group]]
     return rows.join(sums, same, "left").drop("__lo", "__hi", *[f"__{g}" for g in group])

@@ -180,7 +180,7 @@ def covering_pages(spark: SparkSession, d: str) -> DataFrame:
     lower = (F.col("p_size") * 10).cast("long")
     pages = parts.select(F.col("p_partkey").alias("page_id"), F.element_at(types, (F.col("p_partkey") % 5 + 1).cast("int")).alias("scope"), lower.alias("lower"), (lower + 25).alias("through"), (F.col("p_partkey") * 37 % 1000).alias("fetched"))
     asks = _events(spark, d).select(F.col("event_id").alias("ask_id"), F.col("event_type").alias("scope"), (F.col("event_id") % 600).alias("x"))
-    return covering_page(asks, pages, 1000, 400, 50)
+    return covering_page(asks, pages, 1000, 400)
 
 
 QUERIES = {

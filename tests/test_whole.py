@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import json
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 
-from lakeloom.operators import preference as P, ranking as R, schemas, vectors as V
+from lakeloom.operators import graphs, preference as P, ranking as R, schemas, vectors as V
 from lakeloom.plans import analyses, details, rankings
 from lakeloom.sources.lake import from_members
 
@@ -141,3 +142,31 @@ def test_all_components_and_all_asked_vectors(spark, tmp_path):
         assert set(found) == set(range(0, 130, 20))
         for q, ds in found.items():
             assert np.allclose(ds, sorted(1 - u[i] @ u[q] for i in among)[:k], atol=2e-5)
+
+
+def test_pages_over_one_place_stay_apart_from_asks(spark):
+    """Many pages over the same places, and many asks there: no join may list their pairs."""
+    rng = random.Random(8)
+    pages = [(k, rng.choice(["a", "b", None]), (low := rng.randrange(-30, 60)), low + rng.randrange(-1, 40), rng.randrange(20)) for k in range(3000)]
+    asks = [(k % 900, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-40, 110)])) for k in range(1000)]
+    a, p = spark.createDataFrame(asks, "ask_id int, scope string, x int"), spark.createDataFrame(pages, "page_id int, scope string, lower int, through int, fetched int")
+    got = graphs.covering_page(a, p, 20, 12)
+    rows, want = {r.ask_id: r.page_id for r in got.collect()}, {}
+    for k, scope, x in asks:
+        for page, s, low, through, fetched in pages:
+            if s == scope is not None and x is not None and low <= x < through and fetched >= 8:
+                want[k] = max(want.get(k, (0, 0)), (fetched, page))
+    assert rows == {k: page for k, (_, page) in want.items()} and want
+    assert graphs.covering_page(a, p.where("fetched < 8"), 20, 12).count() == 0
+    assert max(joined(got._jdf.queryExecution().executedPlan())) < 10_000  # the pairs are over 100,000
+
+
+def joined(plan) -> list[int]:
+    """The rows that each join of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") else []
+    return sum((joined(plan.children().apply(k)) for k in range(plan.children().size())), own)
