@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,6 +40,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: By application, of each folder of stored(): a weak reference to its plans' index of the files, and the path.
+_stored: dict[str, list[tuple]] = {}
+#: Bytes stored since plans and files that nothing refers to were last cleared, and after how many they are.
+_since, CLEAR_AFTER = [0], 64_000_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """cut, but as compressed columns: for wide rows, of which later steps read some columns only. Order and
+    partitions of the rows aren't kept. A folder is deleted once no plan refers to it any more (an RDD taken
+    from a DataFrame isn't a plan: keep the DataFrame as well)."""
+    names = [c.lower() for c in df.columns]
+    if not names or len(set(names)) < len(names) or any(t == "void" for _, t in df.dtypes):
+        return cut(df)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _stored.setdefault(spark.sparkContext.applicationId, []).append((spark._jvm.java.lang.ref.WeakReference(files), path))
+    _since[0] += files.sizeInBytes()
+    del files
+    if _since[0] > CLEAR_AFTER:
+        _since[0] = 0
+        clear_stored(spark)
+    return out
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the folders of stored() that no plan refers to; shuffle files go with their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+    kept, app = [], spark.sparkContext.applicationId
+    for ref, path in _stored.pop(app, []):
+        if ref.get() is None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        else:
+            kept.append((ref, path))
+    _stored[app] = kept
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has written to the checkpoint folder, once its results are stored or
     no longer wanted: a DataFrame that was cut can't be read after that."""
@@ -58,7 +102,7 @@ def global_positions(df: DataFrame, order: list[Column], name: str = "pos") -> D
     """
     part, local = "__part", "__local"
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(
+    placed = stored(
         sorted_.withColumn("__id", F.monotonically_increasing_id())
         .withColumn(part, F.shiftright("__id", 33).cast("int"))
         .withColumn(local, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))

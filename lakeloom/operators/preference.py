@@ -1,21 +1,25 @@
 """Statistics of comparisons: pairs of tiered batches, Borda and Davidson fits, ranks, stability.
 
 A fit goes over the pairs with aggregates only: in each round every item's gradient and curvature
-are sums over its pairs, computed where the pairs lie; scores are joined back by item. No item,
-component or rating is gathered in one task."""
+are sums over its pairs, computed where the pairs lie; scores are joined back by item. No item or
+rating is gathered in one task, and a component only up to LOCAL_PAIRS pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import cut, stored
 from lakeloom.functions.stats import midranks
 from lakeloom.operators.graphs import components
 
 #: Members of a batch as a rule; the fit's default regularisation, strength of ties and tolerance.
 MAX_BATCH, REGULAR, TIES, TOLERANCE = 16, 0.1, 1.0, 1e-5
-#: Distinct pairs up to which a fit's rounds run in numpy; beyond, every round is a distributed job.
+#: Distinct pairs of a component up to which its fit runs in numpy; beyond, every round is a distributed job.
 LOCAL_PAIRS = 100_000
 
 
@@ -55,11 +59,30 @@ def outcome(d: Column, ties: float) -> tuple[Column, Column]:
 def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds: int = 128, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """(item, score, component): the regularised maximum-likelihood scores with ties, by damped
     diagonal Newton steps, centred within each component of the comparison graph. A fit that doesn't
-    settle within the rounds is an error if strict, else returned as it is."""
-    sides = cut(both_ways(p).groupBy("item", "other").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")))
-    parts = cut(components(p, "i", "j").withColumnRenamed("node", "item"))
-    if sides.limit(LOCAL_PAIRS + 1).count() <= LOCAL_PAIRS:  # the same rounds without a job for each
-        return _davidson_local(sides, parts, regular, ties, rounds, tolerance, strict)
+    settle within the rounds is an error if strict, else returned as it is.
+
+    Components don't affect each other: those of at most LOCAL_PAIRS pairs are fitted whole, many together
+    in a task, and only for larger ones every round is a distributed job."""
+    p = p.where("i IS NOT NULL AND j IS NOT NULL")
+    kind = dict(p.dtypes)["i"]
+    forest = p.select("i", "j").mapInArrow(_forest, f"i {kind}, j {kind}")
+    parts = cut(components(forest, "i", "j").withColumnRenamed("node", "item"))
+    swap = F.col("i") > F.col("j")
+    one = p.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("w") * F.when(swap, 1 - F.col("y")).otherwise(F.col("y"))).alias("wy"), "w")
+    sums = one.repartition("i").groupBy("i", "j").agg(F.sum("wy").alias("wy"), F.sum("w").alias("w"))
+    known = stored(sums.join(parts.withColumnRenamed("item", "i"), "i").select("component", "i", "j", "wy", "w"))
+    large = cut(known.groupBy("component").count().where(F.col("count") > LOCAL_PAIRS).select("component"))
+    whole = known.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component")
+    fitted = whole.mapInArrow(_fitted(regular, ties, rounds, tolerance, strict, LOCAL_PAIRS), f"item {kind}, score double, component {kind}")
+    if large.isEmpty():
+        return fitted
+    rest = known.join(large, "component", "left_semi")
+    sides = cut(rest.select(F.col("i").alias("item"), F.col("j").alias("other"), "wy", "w").unionByName(rest.select(F.col("j").alias("item"), F.col("i").alias("other"), (F.col("w") - F.col("wy")).alias("wy"), "w")))
+    return fitted.unionByName(_davidson_rounds(sides, parts.join(large, "component", "left_semi"), regular, ties, rounds, tolerance, strict))
+
+
+def _davidson_rounds(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float, strict: bool) -> DataFrame:
+    """The rounds of davidson as distributed jobs, for components of any size."""
     s = parts.select("item", "component", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         other = s.select(F.col("item").alias("other"), F.col("score").alias("t"))
@@ -79,28 +102,77 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
     return s.select("item", "score", "component")
 
 
-def _davidson_local(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float, strict: bool) -> DataFrame:
-    """The rounds of davidson in numpy, for at most LOCAL_PAIRS pairs."""
-    pdf, items = sides.toPandas(), parts.toPandas()
-    place = {x: k for k, x in enumerate(items["item"])}
-    i, j = (pdf[c].map(place).to_numpy(np.int64) for c in ("item", "other"))
-    group, n = np.unique(items["component"].to_numpy(), return_inverse=True)[1], len(items)
-    w, wy, s = pdf["w"].to_numpy(float), pdf["wy"].to_numpy(float), np.zeros(n)
-    for _ in range(rounds if n else 0):
-        win = np.exp((s[i] - s[j]) / 2)
-        z = win + 1 / win + ties
-        mean = (win + ties / 2) / z
-        var = (win + ties / 4) / z - mean * mean
-        g, c = np.bincount(i, wy - w * mean, n), np.bincount(i, w * var, n)
-        step = 0.9 * (g - regular * s) / (c + regular)
-        s = s + step
-        s -= (np.bincount(group, s) / np.bincount(group))[group]
-        if np.abs(step).max() < tolerance:
-            break
-    else:
-        if n and strict:
-            raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
-    return sides.sparkSession.createDataFrame(items.assign(score=s)[["item", "score", "component"]], f"item {dict(parts.dtypes)['item']}, score double, component {dict(parts.dtypes)['component']}")
+def _coded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The places of columns i and j among the distinct items of both, and those items."""
+    both = pa.chunked_array([*t.column("i").chunks, *t.column("j").chunks]).combine_chunks().dictionary_encode()
+    at = both.indices.to_numpy()
+    return at[: len(t)], at[len(t) :], both.dictionary
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (i, j) to as few that connect the same items: each item of a batch with one of its component there."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        a, b, items = _coded(pa.Table.from_batches([batch]))
+        root = np.arange(len(items))
+        while (root[a] != root[b]).any():
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([items.take(pa.array(root)), items], ["i", "j"])
+
+
+def _fitted(regular: float, ties: float, rounds: int, tolerance: float, strict: bool, most: int):
+    """Pairs (component, i, j, wy, w) sorted by component to scores: the rounds of davidson in numpy, for
+    about as many components at once as have most pairs. Each stops when it has settled by itself."""
+
+    def fit(t: pa.Table) -> pa.RecordBatch:
+        i, j, items = _coded(t)
+        parts = t.column("component").combine_chunks().dictionary_encode()
+        n, k, of = len(items), len(parts.dictionary), parts.indices.to_numpy()
+        w, wy, s = t.column("w").to_numpy(), t.column("wy").to_numpy(), np.zeros(n)
+        group, live = np.zeros(n, np.int64), np.ones(k, bool)
+        group[i], group[j] = of, of
+        members = np.bincount(group, minlength=k)
+        for _ in range(rounds):
+            win = np.exp((s[i] - s[j]) / 2)
+            z = win + 1 / win + ties
+            mean = (win + ties / 2) / z
+            var = (win + ties / 4) / z - mean * mean
+            g = np.bincount(i, wy - w * mean, n) - np.bincount(j, wy - w * mean, n)
+            c = np.bincount(i, w * var, n) + np.bincount(j, w * var, n)
+            step = 0.9 * (g - regular * s) / (c + regular)
+            moved = s + step
+            moved -= (np.bincount(group, moved, k) / members)[group]
+            s = np.where(live[group], moved, s)
+            largest = np.zeros(k)
+            np.maximum.at(largest, group, np.abs(step))
+            live &= largest >= tolerance
+            if not live.any():
+                break
+        else:
+            if strict:
+                raise RuntimeError(f"the fit didn't settle in {rounds} rounds")
+        return pa.RecordBatch.from_arrays([items, pa.array(s), parts.dictionary.take(pa.array(group))], ["item", "score", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch)
+            if n < max(most, 1):
+                continue
+            t = pa.Table.from_batches(held)
+            parts = t.column("component")
+            end = pc.index(parts, parts[n - 1]).as_py()  # the last component may go on
+            if end:
+                yield fit(t.slice(0, end))
+            held, n = t.slice(end).to_batches(), n - end
+        if n:
+            yield fit(pa.Table.from_batches(held))
+
+    return run
 
 
 def tied_ranks(scores: DataFrame, group: list[str], score: str, grid: float = 1e-6) -> DataFrame:

@@ -170,3 +170,24 @@ def joined(plan) -> list[int]:
         return joined(plan.plan())
     own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("JoinExec") else []
     return sum((joined(plan.children().apply(k)) for k in range(plan.children().size())), own)
+
+
+def test_fits_of_many_components_stay_out_of_the_driver(spark, monkeypatch):
+    """More pairs than LOCAL_PAIRS, but none in one component: no job for each round, nothing to the driver."""
+    monkeypatch.setattr(P, "LOCAL_PAIRS", 40)
+    rng = random.Random(9)
+    batches = [(b, [[x] for x in rng.sample(range(b // 2 * 10, b // 2 * 10 + 6), 4)]) for b in range(40)] + [(99, [[900 + k] for k in range(12)])]
+    p = P.pairs(spark.createDataFrame(batches, "batch long, tiers array<array<long>>"))
+    called, rounds = [], P._davidson_rounds
+    monkeypatch.setattr(P, "_davidson_rounds", lambda sides, parts, *rest: called.append({r["item"] for r in parts.collect()}) or rounds(sides, parts, *rest))
+    fit = {r["item"]: r for r in P.davidson(p).collect()}
+    assert called == [set(range(900, 912))] and fit[905].component == 900  # 66 pairs
+    grad = dict.fromkeys(fit, 0.0)
+    for r in p.collect():
+        d = (fit[r.i].score - fit[r.j].score) / 2
+        mean = (np.exp(d) + 0.5) / (np.exp(d) + np.exp(-d) + 1)
+        grad[r.i] += r.w * (r.y - mean)
+        grad[r.j] -= r.w * (r.y - mean)
+    assert max(abs(g - P.REGULAR * fit[i].score) for i, g in grad.items()) < 1e-3
+    monkeypatch.setattr(P, "LOCAL_PAIRS", 100_000)
+    assert all(abs(r.score - fit[r["item"]].score) < 1e-3 for r in P.davidson(p).collect())
