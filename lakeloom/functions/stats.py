@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import stored
 
 
 def running_totals(rows: DataFrame, group: list[str], order: list[Column], weight: str, kind: str = "double") -> DataFrame:
     """rows with before (the weight of the group's earlier rows) and total (the whole group's)."""
     keys = [*[F.col(g).asc_nulls_first() for g in group], *order]
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
-    placed = cut(ordered.withColumn("__part", F.shiftright("__id", 33)))
+    placed = stored(ordered.withColumn("__part", F.shiftright("__id", 33)))
     own = Window.partitionBy("__part", *group).orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
     ids = [f"__{g}" for g in group]
     totals = placed.groupBy(F.col("__part").alias("__in"), *[F.col(g).alias(f"__{g}") for g in group]).agg(F.sum(weight).alias("__sum"))  # a row for each task a group spans

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import stored
 
 #: Rows of the table of totals that a join may broadcast.
 FEW = 2000
@@ -147,14 +147,14 @@ def window_ranks(rows: DataFrame, group: list[str], t: str, value: str, spans: l
     points = known.groupBy(*own).agg(F.count("*").alias("__w"))
     keys = [F.col(g).asc_nulls_first() for g in group] + [F.col(value).asc()]
     ordered = points.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = cut(ordered.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
+    placed = stored(ordered.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
     of = lambda c: F.when(F.lit(True) if c is None else F.col(c).isNotNull(), F.to_json(F.struct(F.lit(c or "").alias("of"), *[F.col(g).alias(f"g_{g}") for g in group], *([F.col(c).alias("cls")] if c else [])), {"ignoreNullFields": "false"}))
     key_of = {c: f"__key_{k}" for k, c in enumerate([None, *classes]) if c or any(s.cls is None for s in spans)}
     keyed = placed.withColumns({k: of(c) for c, k in key_of.items()})
     moment = lambda c: (F.col(c) - F.lit(base)).cast("long")
     hist = keyed.select(F.explode(F.array(*key_of.values())).alias("key"), F.col("__part").alias("part"), moment(t).alias("t"), F.col("__w").alias("w")).where("key IS NOT NULL")
     hist = hist.groupBy("key", "part", "t").agg(F.sum("w").alias("w"))
-    below = cut(hist.repartition(F.col("key")).sortWithinPartitions("key", "part").mapInArrow(_below(days), "key string, part int, below array<long>"))
+    below = stored(hist.repartition(F.col("key")).sortWithinPartitions("key", "part").mapInArrow(_below(days), "key string, part int, below array<long>"))
     # the code of a row is the first id of its value, as ids follow the order of (group, value)
     code = F.min("__id").over(Window.partitionBy("__part", *group, value))
     left = keyed.select(F.col("__part").alias("part"), F.col("__id").alias("id"), code.alias("code"), moment(t).alias("t"), F.col("__w").alias("w"), *[moment(c).alias(f"__e_{c}") for c in edges], *key_of.values())

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import stored
 from lakeloom.functions.stats import bucket, clamp, midranks, running_totals, shrunk
 from lakeloom.functions.windows import window_medians
 from lakeloom.operators import ranking as R
@@ -51,7 +51,7 @@ def features(rows: DataFrame, p: Settings) -> DataFrame:
     """rows with heat, support, g, v, level, cohort_n, k, c and a (see the module's docstring)."""
     created, observed = F.unix_micros("created"), F.unix_micros("observed")
     low, high = R.age(created, observed, F.lit(False))
-    x = rows.withColumns({"heat": R.heat(F.col("fav"), F.col("up")), "age_low": low, "age_high": high, "support": F.greatest(F.coalesce(known("fav"), F.lit(0)), F.coalesce(known("up"), F.lit(0)))})
+    x = stored(rows.withColumns({"heat": R.heat(F.col("fav"), F.col("up")), "age_low": low, "age_high": high, "support": F.greatest(F.coalesce(known("fav"), F.lit(0)), F.coalesce(known("up"), F.lit(0)))}))
     both = known("up").isNotNull() & F.col("down").isNotNull()
     sizes = x.groupBy("rating").agg(
         F.count("heat").alias("valid"), (F.sum(F.when(both, F.abs("down"))) / F.nullif(F.sum(F.when(both, F.col("up") + F.abs("down"))), F.lit(0))).alias("q0"),
@@ -60,13 +60,14 @@ def features(rows: DataFrame, p: Settings) -> DataFrame:
     x = x.join(sizes, F.col("rating").eqNullSafe(F.col("__r"))).drop("__r")
     vote = R.vote_penalty(F.col("up"), F.abs("down"), F.coalesce("q0", F.lit(0.0)))
     x = x.withColumn("v", F.when(both, vote).otherwise(0.0) if p.votes else F.lit(0.0))
+    x = stored(x)
     x = _cohorts(x, p) if p.time else x.withColumns({"level": F.lit(None).cast("int"), "cohort_n": F.lit(None).cast("long"), "k": F.lit(None).cast("double"), "c": F.col("g")})
-    return _maker_priors(x, p) if p.makers else x.withColumn("a", F.lit(0.0))
+    return _maker_priors(stored(x), p) if p.makers else x.withColumn("a", F.lit(0.0))
 
 
 def _cohorts(x: DataFrame, p: Settings) -> DataFrame:
     """The first level of the ladder that has enough rows, its percentile and the median of support there."""
-    x = cut(R.cohort_percentiles(x, ["rating"], "created", "age_low", "age_high", "heat", p.least))
+    x = stored(R.cohort_percentiles(x, ["rating"], "created", "age_low", "age_high", "heat", p.least))
     x = x.withColumns({c: F.when(F.col("valid") >= p.least, F.col(c)) for c in ("level", "cohort_n", "local")})
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
     months = F.element_at(F.array(*[F.lit(m) for m, _ in R.LADDER]), F.col("level") + 1)
@@ -93,24 +94,38 @@ def _maker_priors(x: DataFrame, p: Settings) -> DataFrame:
     return x.withColumnRenamed("prior", "a").drop("__r", "__mu", "m_t", "m_lo", "m_hi")
 
 
-def ranked(rows: DataFrame, score: str, name: str, ties: list[Column]) -> DataFrame:
-    """rows with name: the place by a score within the rating, from 1, ties by the given columns."""
-    return positions(rows, [F.col(score).desc(), *ties], ["rating"]).withColumnRenamed("position", name)
+def ranked(rows: DataFrame, score: str, name: str, ties: list[Column], group: list[str] | None = None) -> DataFrame:
+    """(__asset, name): the place by a score within the rating (or another group), from 1, ties by the given
+    columns and the asset. Only what the order needs is sorted."""
+    group = group or ["rating"]
+    keys = {f"__tie{k}": c for k, c in enumerate(ties)}
+    narrow = rows.select("asset", *group, score, *[c.alias(k) for k, c in keys.items()])
+    placed = positions(narrow, [F.col(score).desc(), *map(F.col, keys), F.col("asset")], group)
+    return placed.select(F.col("asset").alias("__asset"), F.col("position").alias(name))
+
+
+def with_ranks(rows: DataFrame, ranks: list[DataFrame]) -> DataFrame:
+    """rows with the columns of tables by __asset."""
+    for r in ranks:
+        rows = rows.join(r, F.col("asset") == F.col("__asset")).drop("__asset")
+    return rows
 
 
 def rank_first(rows: DataFrame, p: Settings, select: bool = True) -> DataFrame:
     """The first ranking: main and rescue scores and ranks, and with select the routes."""
-    x = features(rows, p).withColumn("tie", R.tie_key("score-tie", p.seed, F.col("asset")))
+    x = features(rows, p)
     G, C, A, V = (F.col(n) for n in "gcav")
-    x = x.withColumns({
+    x = stored(x.withColumns({
         "main_score": F.round(100 * clamp(G + p.time_weight * F.greatest(C - G, F.lit(0.0)) - p.vote_weight * V, 0.0, 1.0), 9),
         "rescue_score": F.round(100 * clamp(C + p.maker_weight * A * (1 - C) - p.vote_weight * V, 0.0, 1.0), 9),
-    })
-    ties = [F.col("tie"), F.col("asset")]
-    x = ranked(ranked(cut(x), "main_score", "main_rank", ties), "rescue_score", "rescue_rank", ties)
+    }))
+    tie = R.tie_key("score-tie", p.seed, F.col("asset"))
+    x = stored(with_ranks(x, [ranked(x, f"{name}_score", f"{name}_rank", [tie]) for name in ("main", "rescue")]))
     if not select:
-        return x.withColumn("route", F.lit("ranked"))
-    return R.routes(x, "rating", "main_score", "rescue_score", R.tie_key("audit", p.seed, F.col("asset")), "asset", list(p.quotas), ties="tie")
+        return x.withColumns({"tie": tie, "route": F.lit("ranked")})
+    order = x.withColumns({"__main": -F.col("main_rank"), "__rescue": -F.col("rescue_rank")})
+    x = R.routes(order, "rating", "__main", "__rescue", R.tie_key("audit", p.seed, F.col("asset")), "asset", list(p.quotas))
+    return stored(x.drop("__main", "__rescue")).withColumn("tie", tie)
 
 
 def summary(ranked_rows: DataFrame, p: Settings) -> DataFrame:
@@ -132,13 +147,14 @@ def summary(ranked_rows: DataFrame, p: Settings) -> DataFrame:
 
 def _periods(x: DataFrame, p: Settings) -> DataFrame:
     """x with old and new percentiles in the periods around a new year, and which of them there are."""
+    x = stored(x)
     year = F.year("created")
     start = lambda y: F.unix_micros(F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     left, right, w = R.feather(F.unix_micros("created"), start(year), start(year + 1), p.feather_days)
     x = x.withColumns({"created_year": year, "old_period": year + left, "new_period": year + right, "w": w, "age": bucket(F.col("age_low"), F.col("age_high"), [d * R.DAY for d in R.BROAD])})
     parts = F.array(F.struct(F.lit("old").alias("side"), F.col("old_period").alias("period"), (1 - F.col("w")).alias("weight")), F.struct(F.lit("new").alias("side"), F.col("new_period").alias("period"), F.col("w").alias("weight")))
     m = x.where("heat IS NOT NULL AND age IS NOT NULL AND created IS NOT NULL").select("asset", "rating", "heat", "support", "age", F.explode(parts).alias("m")).select("*", "m.*").drop("m").where("weight > 0")
-    m = cut(m)
+    m = stored(m)
     key = ["rating", "period", "age"]
     sizes = m.groupBy(*key).agg((F.sum("weight") ** 2 / F.sum(F.col("weight") ** 2)).alias("effective")).where(F.col("effective") >= p.least_effective)
     ties = m.where("support > 0").groupBy(*key, "support").agg(F.sum("weight").alias("weight"))
@@ -165,14 +181,17 @@ def rank_second(rows: DataFrame, p: Settings, select: bool = True) -> DataFrame:
         "direct_raw": F.round(G + p.time_weight * F.greatest(C - G, F.lit(0.0)) - p.time_down * F.greatest(G - C, F.lit(0.0)) - p.vote_weight * V, 12),
         "type_penalty": F.when((F.col("hints").bitwiseAND(2) != 0) & ~protected, p.penalty).otherwise(0.0), "era_bonus": F.coalesce((1 - W) * bonus("old_period") + W * bonus("new_period"), F.lit(0.0)),
     })
-    x = cut(x.withColumn("era_raw", F.round(F.col("year_percentile") + p.maker_weight * F.col("a") * (1 - F.col("year_percentile")) - p.vote_weight * V, 12)))
-    x = midranks(midranks(x, ["rating"], "direct_raw", name="direct_percentile"), ["rating"], "era_raw", name="era_percentile")
+    x = stored(x.withColumn("era_raw", F.round(F.col("year_percentile") + p.maker_weight * F.col("a") * (1 - F.col("year_percentile")) - p.vote_weight * V, 12)))
     share = p.era_weight if p.time else 0.0
-    x = x.withColumn("fused_score", F.round(100 * ((1 - share) * F.col("direct_percentile") + share * F.col("era_percentile")), 9))
-    x = cut(x.withColumn("main_score", F.round(F.col("fused_score") - F.col("type_penalty") + F.col("era_bonus"), 9)))
-    for score, name in (("direct_raw", "direct_rank"), ("era_raw", "rescue_rank"), ("main_score", "main_rank")):
-        x = ranked(x, score, name, [F.col("asset")])
-    x = positions(x, [F.col("era_raw").desc(), F.col("asset")], ["rating", "created_year"]).withColumnRenamed("position", "year_rank")
+    n = x.select("asset", "rating", "direct_raw", "era_raw", "type_penalty", "era_bonus")
+    n = midranks(midranks(n, ["rating"], "direct_raw", name="direct_percentile"), ["rating"], "era_raw", name="era_percentile")
+    n = n.withColumn("fused_score", F.round(100 * ((1 - share) * F.col("direct_percentile") + share * F.col("era_percentile")), 9))
+    n = stored(n.withColumn("main_score", F.round(F.col("fused_score") - F.col("type_penalty") + F.col("era_bonus"), 9)).drop("direct_raw", "era_raw", "type_penalty", "era_bonus"))
+    ranks = [ranked(rows_, score, name, [], group) for rows_, score, name, group in (
+        (x, "direct_raw", "direct_rank", ["rating"]), (x, "era_raw", "rescue_rank", ["rating"]), (n, "main_score", "main_rank", ["rating"]), (x, "era_raw", "year_rank", ["rating", "created_year"]),
+    )]
+    placed = stored(with_ranks(n.drop("rating"), ranks)).withColumnRenamed("asset", "__asset")
+    x = with_ranks(x, [placed])
     return select_second(x, p) if select else x.withColumn("route", F.lit("ranked"))
 
 
@@ -194,10 +213,10 @@ def admit(rows: DataFrame, order: list[Column], wanted: dict, room: dict, free:
     number = lambda d, c: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]), c), F.lit(0)) if d else F.lit(0)
     key = F.concat_ws("/", F.col("rating"), F.col("era").cast("string"))
     placed = positions(rows, order, ["rating", "era"]).withColumn("__over", F.col("position") > number({f"{r}/{e}": n for (r, e), n in room.items()}, key)).drop("position")
-    placed = positions(cut(placed), order, ["rating", "__over"]).withColumn("__can", ~F.col("__over") | (F.col("position") <= number(free, F.col("rating")))).drop("position")
-    placed = positions(cut(placed), order, ["rating", "__can"])
+    placed = positions(placed, order, ["rating", "__over"]).withColumn("__can", ~F.col("__over") | (F.col("position") <= number(free, F.col("rating")))).drop("position")
+    placed = positions(placed, order, ["rating", "__can"])
     yes = F.col("__can") & (F.col("position") <= number(wanted, F.col("rating")))
-    return cut(placed.withColumns({"admitted": yes, "on_free": yes & F.col("__over")}).drop("position", "__over", "__can"))
+    return stored(placed.withColumns({"admitted": yes, "on_free": yes & F.col("__over")}).drop("position", "__over", "__can"))
 
 
 def select_second(x: DataFrame, p: Settings) -> DataFrame:
@@ -205,8 +224,9 @@ def select_second(x: DataFrame, p: Settings) -> DataFrame:
     only the era rank would select, then by main rank, then by a hash."""
     aimed = [e for e in p.eras if e[3] is not None]
     era = F.coalesce(*[F.when(F.col("created_year").between(a, b), i) for i, (a, b, _, _) in enumerate(aimed)], F.lit(len(aimed)))
-    x = cut(x.withColumns({"era": era, "audit_key": R.tie_key("audit", p.seed, F.col("asset"))}))
-    counts = {(r[0], r[1]): r[2] for r in x.groupBy("rating", "era").count().collect()}  # one number per rating and era
+    x = x.withColumn("era", era)
+    left = stored(x.select("asset", "rating", "era", "direct_rank", "rescue_rank", "main_rank"))
+    counts = {(r[0], r[1]): r[2] for r in left.groupBy("rating", "era").count().collect()}  # one number per rating and era
     ratings = sorted({r for r, _ in counts if r is not None})
     budget = {r: sum(n for (q, _), n in counts.items() if q == r) * p.keep // 1000 for r in ratings}
     rates = [e[3] for e in aimed] + [1000 - sum(e[3] for e in aimed)]
@@ -216,25 +236,25 @@ def select_second(x: DataFrame, p: Settings) -> DataFrame:
         room |= {(r, e): n for e, n in enumerate(own)}
     limit = F.coalesce(F.try_element_at(F.create_map(*[y for r in ratings for y in (F.lit(r), F.lit(budget[r]))]), F.col("rating")), F.lit(0)) if ratings else F.lit(0)
     direct, late = F.col("direct_rank") <= limit, F.col("rescue_rank") <= limit
-    left, done, picked = x, [], dict.fromkeys(ratings, 0)
+    done, picked = [], dict.fromkeys(ratings, 0)
     audits = {r: budget[r] * p.audit // 1000 for r in ratings}
     stages = [
         ("rescue", direct & ~late, [F.col("direct_rank")], lambda r: budget[r] * p.rescue[0] // 1000), ("rescue", late & ~direct, [F.col("rescue_rank")], lambda r: budget[r] * p.rescue[1] // 1000),
-        ("main", F.lit(True), [F.col("main_rank")], lambda r: max(0, budget[r] - audits[r] - picked[r])), ("audit", F.lit(True), [F.col("audit_key"), F.col("asset")], lambda r: budget[r] - picked[r]),
+        ("main", F.lit(True), [F.col("main_rank")], lambda r: max(0, budget[r] - audits[r] - picked[r])), ("audit", F.lit(True), [R.tie_key("audit", p.seed, F.col("asset")), F.col("asset")], lambda r: budget[r] - picked[r]),
     ]
     for route, which, order, wanted in stages:
         tried = admit(left.where(which), order, {r: wanted(r) for r in ratings}, room, free)
-        taken = tried.where("admitted").drop("admitted")
+        taken = tried.where("admitted")
         for r, e, n, on_free in taken.groupBy("rating", "era").agg(F.count("*"), F.count_if("on_free")).collect():
             picked[r] += n
             room[r, e] -= n - on_free
             free[r] -= on_free
-        done.append(taken.drop("on_free").withColumn("route", F.lit(route)))
+        done.append(taken.select(F.col("asset").alias("__asset"), F.lit(route).alias("route")))
         left = left.join(taken.select("asset"), "asset", "left_anti")
-    out = left.withColumn("route", F.lit("rejected"))
-    for d in done:
-        out = out.unionByName(d)
-    return out.drop("audit_key")
+    chosen = done[0]
+    for d in done[1:]:
+        chosen = chosen.unionByName(d)
+    return x.join(chosen, F.col("asset") == F.col("__asset"), "left").drop("__asset").withColumn("route", F.coalesce("route", F.lit("rejected")))
 
 
 def years(x: DataFrame) -> DataFrame:
