@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeloom.functions import windows
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import stored
 from lakeloom.functions.stats import bucket, clamp, midranks, shrunk
 from lakeloom.plans.paging import positions
 
@@ -128,17 +128,16 @@ def routes(rows: DataFrame, group: str, main: str, rescue: str, audit: Column, k
     (their sizes come to the driver), their rows are numbered over all tasks."""
     sizes = {r[0]: quotas(r[1], shares) for r in rows.groupBy(group).count().collect()}
     limit = lambda k: F.coalesce(F.element_at(F.create_map(*[x for g, q in sizes.items() for x in (F.lit(g), F.lit(q[k]))]), F.col(group)), F.lit(0)) if sizes else F.lit(0)
-    left, out = rows, []
-    tie = [F.col(ties)] if ties else []
-    for k, (route, order) in enumerate((("main", F.col(main).desc_nulls_last()), ("rescue", F.col(rescue).desc_nulls_last()), ("audit", audit.asc()))):
-        placed = cut(positions(left, [order, *(tie if k < 2 else []), F.col(key)], [group]).withColumn("__in", F.col("position") <= limit(k)))
-        out.append(placed.where("__in").drop("__in", "position").withColumn("route", F.lit(route)))
-        left = placed.where("NOT __in").drop("__in", "position")
-    out.append(left.withColumn("route", F.lit("rejected")))
-    first = out[0]
-    for o in out[1:]:
-        first = first.unionByName(o)
-    return first
+    tie = [ties] if ties else []
+    narrow = stored(rows.select(*dict.fromkeys([key, group, main, rescue, *tie]), audit.alias("__audit")))
+    left, out = narrow, []
+    for k, (route, order) in enumerate((("main", F.col(main).desc_nulls_last()), ("rescue", F.col(rescue).desc_nulls_last()), ("audit", F.col("__audit").asc()))):
+        need = {0: [main, *tie], 1: [rescue, *tie], 2: ["__audit"]}[k]
+        placed = positions(left.select(*dict.fromkeys([key, group, *need])), [order, *map(F.col, need[1:]), F.col(key)], [group])
+        out.append(stored(placed.where(F.col("position") <= limit(k)).select(F.col(key).alias("__key"), F.lit(route).alias("route"))))
+        left = left.join(out[-1], F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    chosen = out[0].unionByName(out[1]).unionByName(out[2])
+    return rows.join(chosen, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key").withColumn("route", F.coalesce("route", F.lit("rejected")))
 
 
 def capacities(counts: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
@@ -161,7 +160,7 @@ def select_by_year(rows: DataFrame, year: str, score: str, key: str, budget: int
     share, free = capacities(counts, min(budget, sum(counts.values())))
     table = F.create_map(*[x for y, c in share.items() for x in (F.lit(y), F.lit(c))]) if share else F.create_map(F.lit(0), F.lit(0))
     order = [F.col(score).desc_nulls_last(), F.col(key)]
-    placed = cut(positions(rows, order, [year]).withColumn("__in", F.col("position") <= F.coalesce(F.element_at(table, F.col(year)), F.lit(0))).drop("position"))
+    placed = stored(positions(rows, order, [year]).withColumn("__in", F.col("position") <= F.coalesce(F.element_at(table, F.col(year)), F.lit(0))).drop("position"))
     own = placed.where("__in").drop("__in").withColumn("slot", F.lit("year"))
     spare = placed.where("NOT __in").drop("__in")
     if free <= 0:
