@@ -1,15 +1,19 @@
 """Queries that do the whole job, against plain recomputation."""
 
+import datetime
 import hashlib
 import itertools
 import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pytest
 
-from lakeloom.operators import graphs, preference as P, ranking as R, schemas, vectors as V
+from lakeloom.functions import runtime
+from lakeloom.operators import graphs, population, preference as P, ranking as R, schemas, vectors as V
 from lakeloom.plans import analyses, details, rankings
 from lakeloom.sources.lake import from_members
 
@@ -191,3 +195,25 @@ def test_fits_of_many_components_stay_out_of_the_driver(spark, monkeypatch):
     assert max(abs(g - P.REGULAR * fit[i].score) for i, g in grad.items()) < 1e-3
     monkeypatch.setattr(P, "LOCAL_PAIRS", 100_000)
     assert all(abs(r.score - fit[r["item"]].score) < 1e-3 for r in P.davidson(p).collect())
+
+
+@pytest.mark.parametrize("kind", ["first", "second"])
+def test_rankings_keep_few_copies_of_wide_rows(spark, monkeypatch, kind):
+    """What a ranking leaves in the checkpoint folder: a few copies of its rows, not one for each order."""
+    monkeypatch.setattr(runtime, "CLEAR_AFTER", 2_000_000)
+    rng = random.Random(10)
+    day = lambda k: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k % 900)
+    rows = [(f"a{k}", "gq"[k % 2], day(k * 7), day(2000), rng.randrange(50), rng.randrange(9), rng.randrange(4), k % 40, k % 32, rng.randbytes(2000).hex()) for k in range(1500)]
+    df = spark.createDataFrame(rows, "asset string, rating string, created timestamp, observed timestamp, fav long, up long, down long, maker long, hints int, payload string").coalesce(4)
+    runtime.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+    if kind == "first":
+        x = population.rank_first(df, population.Settings(least=50, makers=True))
+        assert [r.ok for r in population.validate(x, ["main_rank", "rescue_rank"]).collect()] == [True] * 6
+    else:
+        x = population.rank_second(df, population.Settings(least=50, least_effective=20.0))
+        assert sum(r.n for r in population.years(x).collect()) == 1500 and x.where("route <> 'rejected'").count() == 2 * (750 * 333 // 1000)
+    assert held() - before < 4 * 1500 * 4000
+    assert {r.asset: r.payload for r in x.select("asset", "payload").collect()} == {r[0]: r[-1] for r in rows}
