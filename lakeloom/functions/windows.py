@@ -128,13 +128,13 @@ def _rank_part(spans: list[tuple[str, str, str, str]], days: int):
     return run
 
 
-def window_ranks(rows: DataFrame, group: list[str], t: str, value: str, spans: list[Span]) -> DataFrame:
+def window_ranks(rows: DataFrame, group: list[str], t: str, value: str, spans: list[Span], weight: str | None = None) -> DataFrame:
     """rows with, for each span, <name>_n, <name>_less and <name>_equal: how many rows of the group (and of
     the row's own class) lie at moments lo..hi, and how many of them have a smaller or the same value.
 
     Moments are whole numbers in the unit in which windows are told apart (days, say: there's one array
     entry for each between the first and last). Rows with a null value or moment aren't counted and get
-    nulls; so do rows of a null class, for its spans."""
+    nulls; so do rows of a null class, for its spans. weight: the column of how often each row counts."""
     names = [c for s in spans for c in (f"{s.name}_n", f"{s.name}_less", f"{s.name}_equal")]
     known = rows.where(F.col(value).isNotNull() & F.col(t).isNotNull())
     ends = known.agg(F.min(t), F.max(t)).first()  # two numbers
@@ -144,7 +144,7 @@ def window_ranks(rows: DataFrame, group: list[str], t: str, value: str, spans: l
     classes = sorted({s.cls for s in spans if s.cls})
     edges = sorted({c for s in spans for c in (s.lo, s.hi)})
     own = [*group, value, t, *edges, *classes]
-    points = known.groupBy(*own).agg(F.count("*").alias("__w"))
+    points = known.groupBy(*own).agg((F.count("*") if weight is None else F.sum(weight)).alias("__w"))
     keys = [F.col(g).asc_nulls_first() for g in group] + [F.col(value).asc()]
     ordered = points.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = stored(ordered.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
@@ -180,12 +180,13 @@ def window_ranks(rows: DataFrame, group: list[str], t: str, value: str, spans: l
     return rows.join(found, same, "left").drop(*[f"__o_{c}" for c in own])
 
 
-def window_medians(rows: DataFrame, keys: list[str], lo: str, hi: str, points: DataFrame, t: str, m: str, cap: int = 81) -> DataFrame:
+def window_medians(rows: DataFrame, keys: list[str], lo: str, hi: str, points: DataFrame, t: str, m: str, cap: int = 81, weight: str | None = None) -> DataFrame:
     """rows with median: of the positive values m of the points of the same keys at moments lo..hi, each at
     most cap (so that only the order below it matters); the mean of the two middle ones of an even number,
     null for none. Points are counted by (keys, t, m) first, windows are distinct (keys, lo, hi): the table
-    of one key has at most cap rows for each moment, however many points there are."""
-    counted = points.where(F.col(m) > 0).groupBy(*keys, F.col(t).alias("t"), F.least(F.col(m), F.lit(cap)).cast("int").alias("m")).agg(F.count("*").alias("w"))
+    of one key has at most cap rows for each moment, however many points there are. weight: the column of
+    how often each point counts."""
+    counted = points.where(F.col(m) > 0).groupBy(*keys, F.col(t).alias("t"), F.least(F.col(m), F.lit(cap)).cast("int").alias("m")).agg((F.count("*") if weight is None else F.sum(weight)).alias("w"))
     asked = rows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct()
     kind = dict(rows.dtypes)
     fields = ", ".join(f"`{k}` {kind[k]}" for k in keys)

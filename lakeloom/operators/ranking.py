@@ -77,10 +77,10 @@ def months_window(created: Column, months: int) -> tuple[Column, Column]:
     return created - step, created + step
 
 
-def cohort_percentiles(rows: DataFrame, group: list[str], created: str, lower: str, upper: str, value: str, least: int, ladder: list[tuple[int, list[int]]] = LADDER) -> DataFrame:
+def cohort_percentiles(rows: DataFrame, group: list[str], created: str, lower: str, upper: str, value: str, least: int, ladder: list[tuple[int, list[int]]] = LADDER, weight: str | None = None) -> DataFrame:
     """rows with level, cohort_n and local: the mid-rank percentile among rows of the same age bucket
     created within the months around, on the first level of the ladder with at least least rows. All
-    levels are counted in one pass."""
+    levels are counted in one pass. weight: the column of how often each row counts."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
     cols, spans = {"__t": day(F.col(created))}, []
     for level, (months, edges) in enumerate(ladder):
@@ -88,7 +88,7 @@ def cohort_percentiles(rows: DataFrame, group: list[str], created: str, lower: s
         cls = "__b" + "_".join(map(str, edges))
         cols |= {f"__lo{months}": day(lo), f"__hi{months}": day(hi), cls: bucket(F.col(lower), F.col(upper), [e * DAY for e in edges])}
         spans.append(windows.Span(f"__{level}", f"__lo{months}", f"__hi{months}", cls))
-    found = windows.window_ranks(rows.withColumns(cols), group, "__t", value, spans)
+    found = windows.window_ranks(rows.withColumns(cols), group, "__t", value, spans, weight)
     enough = lambda k: F.col(f"__{k}_n") >= least
     first = lambda pick: F.coalesce(*[F.when(enough(k), pick(k)) for k in range(len(spans))])
     out = found.withColumns({

@@ -167,7 +167,7 @@ def selection_second(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_summary(spark: SparkSession, d: str) -> DataFrame:
-    return P.years(P.rank_second(_assets(spark, d), SECOND))
+    return P.years_second(_assets(spark, d), SECOND)
 
 
 def rating_filter(spark: SparkSession, d: str) -> DataFrame:

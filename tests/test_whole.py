@@ -217,3 +217,29 @@ def test_rankings_keep_few_copies_of_wide_rows(spark, monkeypatch, kind):
         assert sum(r.n for r in population.years(x).collect()) == 1500 and x.where("route <> 'rejected'").count() == 2 * (750 * 333 // 1000)
     assert held() - before < 4 * 1500 * 4000
     assert {r.asset: r.payload for r in x.select("asset", "payload").collect()} == {r[0]: r[-1] for r in rows}
+
+
+def test_year_summary_numbers_few_rows_and_stores_no_wide_ones(spark, monkeypatch):
+    """The summary of the second ranking's selection needs no row's rank, and features only once for rows that are alike."""
+    monkeypatch.setattr(runtime, "CLEAR_AFTER", 1 << 40)
+    rng = random.Random(11)
+    day = lambda k: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k % 1300)
+    kinds = [(rng.choice(["g", "q"]), day(k * 7), rng.choice([None, *range(50)]), rng.choice([None, *range(9)]), rng.randrange(4)) for k in range(500)] + [(None, day(5), 3, 1, 0), ("g", None, 7, 2, 1)]
+    rows = [(f"a{k}", r, c, day(1299) + datetime.timedelta(days=400), f, u, d, k % 40, k % 32, rng.randbytes(2000).hex()) for k, (r, c, f, u, d) in enumerate(rng.choice(kinds) for _ in range(2000))]
+    df = spark.createDataFrame(rows, "asset string, rating string, created timestamp, observed timestamp, fav long, up long, down long, maker long, hints int, payload string").coalesce(4)
+    p = population.Settings(least=50, least_effective=20.0, penalty=3.0, time_down=0.1, eras=((1995, 1995, 2.0, 500), (1997, 1998, 1.0, None)))
+    key = lambda r: (r.rating or "", r.created_year or 0)
+    want = sorted(population.years(population.rank_second(df, p)).collect(), key=key)
+    budget = sum(sum(x[1] == r for x in rows) * 333 // 1000 for r in "gq")
+    monkeypatch.setattr(rankings, "_assets", lambda *_: df)
+    monkeypatch.setattr(rankings, "SECOND", p)
+    numbered, positions = [], population.positions
+    monkeypatch.setattr(population, "positions", lambda rows_, *rest: numbered.append(rows_.count()) or positions(rows_, *rest))
+    runtime.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = held()
+    got = sorted(rankings.year_summary(spark, "").collect(), key=key)
+    assert got == want and sum(r.n for r in got) == 2000 and sum(r.selected for r in got) == budget and any(r.penalised and r.fallback for r in got)
+    assert held() - before < 2000 * 2000  # one copy of the wide column
+    assert max(numbered) < 200
