@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakeloom.functions.runtime import cut
+from lakeloom.functions.runtime import clear_stored, cut, stored
 from lakeloom.operators.ranking import cover, nodes
 
 #: Rounds after which a computation that should have settled is taken as faulty.
@@ -15,27 +15,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node is connected to.
 
     Alternates large-star and small-star steps, which settle in few rounds even on long chains; every
-    step combines before its shuffle and its result is cut to the checkpoint folder. A node of many
+    step combines before its shuffle and its result is stored in the checkpoint folder, with what it left
+    behind cleared. Edges that are stars about their least nodes already need no round. A node of many
     edges is an aggregate, never a list. Nodes without edges aren't in the edges and so not in the result."""
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    links = cut(pairs.where("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct())
+    links = stored(pairs.where("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct())
     for _ in range(MAX_ROUNDS):
-        both = links.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(links.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.join(least, "x").where("y > x AND y <> m").select(F.col("m").alias("lo"), F.col("y").alias("hi"))
-        large = large.union(both.join(least, "x").where("x <> m").select(F.col("m").alias("lo"), F.col("x").alias("hi"))).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(low.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct()
-        after = cut(small)
-        same = after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty()
-        links = after
-        if same:
+        if _are_stars(links):
             break
+        links = _star_steps(links)
+        clear_stored(edges.sparkSession)
     else:
         raise RuntimeError("components didn't settle")
-    roots = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(links, nodes["node"] == links["hi"], "left").select("node", F.coalesce("lo", "node").alias("component"))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each upper end of links (lo, hi; distinct) has one lower end, which is no upper end itself."""
+    ends = links.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("lo", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
+def _star_steps(links: DataFrame) -> DataFrame:
+    """Links after a large-star and a small-star step."""
+    both = links.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(links.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
+    least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+    large = both.join(least, "x").where("y > x AND y <> m").select(F.col("m").alias("lo"), F.col("y").alias("hi"))
+    large = large.union(least.where("x <> m").select(F.col("m").alias("lo"), F.col("x").alias("hi"))).distinct()
+    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    small = large.join(low, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(low.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct()
+    return stored(small)
 
 
 def least_depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:

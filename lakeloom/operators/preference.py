@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakeloom.functions.runtime import cut, stored
+from lakeloom.functions.runtime import clear_stored, stored
 from lakeloom.functions.stats import midranks
 from lakeloom.operators.graphs import components
 
@@ -21,6 +21,8 @@ from lakeloom.operators.graphs import components
 MAX_BATCH, REGULAR, TIES, TOLERANCE = 16, 0.1, 1.0, 1e-5
 #: Distinct pairs of a component up to which its fit runs in numpy; beyond, every round is a distributed job.
 LOCAL_PAIRS = 100_000
+#: Pairs after which a task that looks for components merges them, and items that it holds at most (about).
+FOREST_ROWS, FOREST_ITEMS = 100_000, 500_000
 
 
 def pairs(batches: DataFrame) -> DataFrame:
@@ -65,36 +67,30 @@ def davidson(p: DataFrame, regular: float = REGULAR, ties: float = TIES, rounds:
     in a task, and only for larger ones every round is a distributed job."""
     p = p.where("i IS NOT NULL AND j IS NOT NULL")
     kind = dict(p.dtypes)["i"]
-    forest = p.select("i", "j").mapInArrow(_forest, f"i {kind}, j {kind}")
-    parts = cut(components(forest, "i", "j").withColumnRenamed("node", "item"))
+    forest = stored(p.select("i", "j").mapInArrow(_forest, f"i {kind}, j {kind}"))
+    parts = stored(components(forest, "i", "j").withColumnRenamed("node", "item"))
     swap = F.col("i") > F.col("j")
     one = p.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("w") * F.when(swap, 1 - F.col("y")).otherwise(F.col("y"))).alias("wy"), "w")
     sums = one.repartition("i").groupBy("i", "j").agg(F.sum("wy").alias("wy"), F.sum("w").alias("w"))
     known = stored(sums.join(parts.withColumnRenamed("item", "i"), "i").select("component", "i", "j", "wy", "w"))
-    large = cut(known.groupBy("component").count().where(F.col("count") > LOCAL_PAIRS).select("component"))
-    whole = known.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component")
+    large = stored(known.groupBy("component").count().where(F.col("count") > LOCAL_PAIRS).select("component"))
+    none = large.isEmpty()
+    whole = (known if none else known.join(large, "component", "left_anti")).repartition("component").sortWithinPartitions("component")
     fitted = whole.mapInArrow(_fitted(regular, ties, rounds, tolerance, strict, LOCAL_PAIRS), f"item {kind}, score double, component {kind}")
-    if large.isEmpty():
+    if none:
         return fitted
     rest = known.join(large, "component", "left_semi")
-    sides = cut(rest.select(F.col("i").alias("item"), F.col("j").alias("other"), "wy", "w").unionByName(rest.select(F.col("j").alias("item"), F.col("i").alias("other"), (F.col("w") - F.col("wy")).alias("wy"), "w")))
+    sides = stored(rest.select(F.col("i").alias("item"), F.col("j").alias("other"), "wy", "w").unionByName(rest.select(F.col("j").alias("item"), F.col("i").alias("other"), (F.col("w") - F.col("wy")).alias("wy"), "w")))
     return fitted.unionByName(_davidson_rounds(sides, parts.join(large, "component", "left_semi"), regular, ties, rounds, tolerance, strict))
 
 
 def _davidson_rounds(sides: DataFrame, parts: DataFrame, regular: float, ties: float, rounds: int, tolerance: float, strict: bool) -> DataFrame:
-    """The rounds of davidson as distributed jobs, for components of any size."""
-    s = parts.select("item", "component", F.lit(0.0).alias("score"))
+    """The rounds of davidson as distributed jobs, for components of any size. What a round leaves behind is
+    cleared before the next, so that neither disk nor the driver's memory grows with the rounds."""
+    s = stored(parts.select("item", "component", F.lit(0.0).alias("score")))
     for _ in range(rounds):
-        other = s.select(F.col("item").alias("other"), F.col("score").alias("t"))
-        mean, var = outcome((F.col("score") - F.col("t")) / 2, ties)
-        terms = sides.join(s, "item").join(other, "other").select("item", (F.col("wy") - F.col("w") * mean).alias("g"), (F.col("w") * var).alias("c"))
-        sums = terms.groupBy("item").agg(F.sum("g").alias("g"), F.sum("c").alias("c"))
-        step = 0.9 * (F.col("g") - regular * F.col("score")) / (F.col("c") + regular)
-        moved = s.join(sums, "item").select("item", "component", (F.col("score") + step).alias("score"), F.abs(step).alias("step"))
-        centre = moved.groupBy("component").agg(F.avg("score").alias("mean"))
-        s2 = cut(moved.join(centre, "component").select("item", "component", (F.col("score") - F.col("mean")).alias("score"), "step"))
-        largest = s2.agg(F.max("step")).first()[0]
-        s = s2.drop("step")
+        s, largest = _davidson_round(sides, s, regular, ties)
+        clear_stored(sides.sparkSession)
         if largest is None or largest < tolerance:
             return s.select("item", "score", "component")
     if strict:
@@ -102,6 +98,19 @@ def _davidson_rounds(sides: DataFrame, parts: DataFrame, regular: float, ties: f
     return s.select("item", "score", "component")
 
 
+def _davidson_round(sides: DataFrame, s: DataFrame, regular: float, ties: float) -> tuple[DataFrame, float | None]:
+    """Scores (item, component, score) after one more round, and the largest step in it."""
+    other = s.select(F.col("item").alias("other"), F.col("score").alias("t"))
+    mean, var = outcome((F.col("score") - F.col("t")) / 2, ties)
+    met = sides.join(other, "other").join(s, "item")  # by item at last, as the sums are
+    sums = met.groupBy("item").agg(F.first("component").alias("component"), F.first("score").alias("score"), F.sum(F.col("wy") - F.col("w") * mean).alias("g"), F.sum(F.col("w") * var).alias("c"))
+    step = 0.9 * (F.col("g") - regular * F.col("score")) / (F.col("c") + regular)
+    moved = stored(sums.select("item", "component", (F.col("score") + step).alias("score"), F.abs(step).alias("step")))
+    ends = stored(moved.groupBy("component").agg(F.avg("score").alias("mean"), F.max("step").alias("step")))
+    largest = ends.agg(F.max("step")).first()[0]
+    return moved.drop("step").join(ends.drop("step"), "component").select("item", "component", (F.col("score") - F.col("mean")).alias("score")), largest
+
+
 def _coded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The places of columns i and j among the distinct items of both, and those items."""
     both = pa.chunked_array([*t.column("i").chunks, *t.column("j").chunks]).combine_chunks().dictionary_encode()
@@ -110,18 +119,35 @@ def _coded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (i, j) to as few that connect the same items: each item of a batch with one of its component there."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        a, b, items = _coded(pa.Table.from_batches([batch]))
-        root = np.arange(len(items))
+    """Pairs (i, j) to as few that connect the same items: each item with the least one of its component among
+    the pairs of a partition, or of as much of it as has FOREST_ITEMS items."""
+
+    def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, items = _coded(pa.Table.from_batches(held))
+        order = pc.sort_indices(items).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = root = np.arange(len(order))
+        a, b, items = rank[a], rank[b], items.take(pa.array(order))
         while (root[a] != root[b]).any():
             x, y = root[a], root[b]
             np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while (root[root] != root).any():
                 root = root[root]
-        yield pa.RecordBatch.from_arrays([items.take(pa.array(root)), items], ["i", "j"])
+        return pa.RecordBatch.from_arrays([items.take(pa.array(root)), items], schema=held[0].schema)
+
+    held, n, least = [], 0, FOREST_ROWS
+    for batch in batches:
+        held, n = [*held, batch], n + len(batch)
+        if n < least:
+            continue
+        held = [merged(held)]
+        n = len(held[0])
+        if n >= FOREST_ITEMS:
+            yield held.pop()
+            n = 0
+        least = max(2 * n, FOREST_ROWS)
+    if n:
+        yield merged(held)
 
 
 def _fitted(regular: float, ties: float, rounds: int, tolerance: float, strict: bool, most: int):

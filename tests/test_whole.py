@@ -197,6 +197,75 @@ def test_fits_of_many_components_stay_out_of_the_driver(spark, monkeypatch):
     assert all(abs(r.score - fit[r["item"]].score) < 1e-3 for r in P.davidson(p).collect())
 
 
+def roots(edges):
+    """The least item that each item is connected to."""
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((top(a), top(b)))
+        up[hi] = lo
+    return {x: top(x) for x in up}
+
+
+def jobs(spark, name, run):
+    """The number of Spark jobs that run starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_fit_over_separate_batches_starts_few_jobs(spark):
+    """Each job adds to what the driver holds: batches that share no items need no rounds to find components."""
+    p = P.pairs(spark.createDataFrame([(b, [[b * 9 + 5, b * 9 + 2], [b * 9 + 7], [b * 9]]) for b in range(200)], "batch long, tiers array<array<long>>").repartition(4))
+    got = {}
+    n = jobs(spark, "fit", lambda: got.update({r["item"]: r.component for r in P.davidson(p).collect()}))
+    assert got == {b * 9 + k: b * 9 for b in range(200) for k in (0, 2, 5, 7)}
+    assert n <= 25
+
+
+def test_rounds_of_a_fit_leave_nothing_behind(spark, monkeypatch):
+    monkeypatch.setattr(P, "LOCAL_PAIRS", 0)
+    p = P.pairs(spark.createDataFrame([(b, [[b], [b + 1, b + 2], [b + 3]]) for b in range(40)], "batch long, tiers array<array<long>>")).localCheckpoint()
+    runtime.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+
+    def left(rounds):
+        before = set(folder.iterdir())
+        fit = P.davidson(p, rounds=rounds, tolerance=0.0, strict=False)
+        return len(set(folder.iterdir()) - before), {r["item"]: r.score for r in fit.collect()}
+
+    (few, _), (many, fit) = left(2), left(9)
+    assert many <= few and many <= 10
+    monkeypatch.setattr(P, "LOCAL_PAIRS", 100_000)
+    local = {r["item"]: r.score for r in P.davidson(p, rounds=9, tolerance=0.0, strict=False).collect()}
+    assert fit.keys() == local.keys() and all(abs(fit[i] - local[i]) < 1e-9 for i in fit)
+
+
+@pytest.mark.parametrize("rows, items", [(100_000, 500_000), (50, 500_000), (50, 20), (1, 1)])
+def test_forests_connect_what_the_pairs_do(monkeypatch, rows, items):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "FOREST_ROWS", rows)
+    monkeypatch.setattr(P, "FOREST_ITEMS", items)
+    rng = random.Random(5)
+    for kind in (lambda k: k * 7 - 900, lambda k: f"a{k}"):
+        edges = [(kind(a), kind(rng.choice([a, a + 1, a + 40]))) for a in rng.choices(range(400), k=300)]
+        batches = [pa.RecordBatch.from_pylist([{"i": i, "j": j} for i, j in edges[k : k + 30]]) for k in range(0, 300, 30)]
+        out = [(r["i"], r["j"]) for b in P._forest(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert roots(out) == roots(edges) and all(i <= j for i, j in out)
+        if items > 1000:
+            assert {j: i for i, j in out} == roots(edges)
+    assert not list(P._forest(iter([]))) and not list(P._forest(iter([batches[0].slice(0, 0)])))
+
+
 @pytest.mark.parametrize("kind", ["first", "second"])
 def test_rankings_keep_few_copies_of_wide_rows(spark, monkeypatch, kind):
     """What a ranking leaves in the checkpoint folder: a few copies of its rows, not one for each order."""
